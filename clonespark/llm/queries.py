@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clonespark.llm.chat import chat_digest, format_conversations
 from clonespark.llm.common import table
+from clonespark.llm.embeddings import near_duplicate_vectors
+from clonespark.llm.language import identify, remainder, train
+from clonespark.llm.minhash import near_duplicates
+from clonespark.llm.mixing import mix_sources, taken_words
 from clonespark.llm.packing import pack_documents
 from clonespark.llm.pfor import read_token_files, write_token_files
+from clonespark.llm.ppm import score_texts
 from clonespark.llm.tokens import token_counts
+from clonespark.llm.topk import exact_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,14 +26,66 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    return chat_digest(format_conversations(turns.unionByName(planted)))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = train(docs.filter(~held_out))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(*mix_sources(table(spark, sf_dir, "documents"))).drop("row")
+
+
+def op9_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 7) == 2
+    scored = score_texts(docs, docs.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_packing, op10_token_files)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_chat_format,
+        op3_packing,
+        op4_embedding_dedup,
+        op5_language_id,
+        op6_exact_topk,
+        op7_minhash_dedup,
+        op8_source_mix,
+        op9_ppm_scoring,
+        op10_token_files,
+    )
+}
 
+#: The queries that DuckDB's SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}
