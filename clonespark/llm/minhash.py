@@ -6,10 +6,10 @@ scatters the shingles, coordinate k shifts its result round by k, and the second
 is applied before taking the minimum. Bands of coordinates give candidates.
 
 Documents with the same set form a class and go on as one. A bucket's members
-are first compared to its smallest member; what that leaves apart within a
-bucket, if its members still lie in several components, is compared block by
-block by signature, and every pair that may reach the threshold is confirmed on
-full sets. No bucket is capped and no group's pairs are listed.
+are first compared to its smallest member. A bucket whose members then still lie
+in several components is compared whole, block against block: full sets meet as
+matrices inside a task, and only what joins two components leaves it. No bucket
+is capped and no group's pairs are listed.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ from clonespark.llm.components import connected_components
 
 #: 24 bands of 5: a pair at a Jaccard similarity of 0.8 is missed with a chance of 7e-5.
 BANDS, ROWS = 24, 5
-#: A pair at 0.8 has a share of equal coordinates under this with a chance under 1e-8.
-LIKELY = 0.58
-BLOCK = 512
+#: Members and shingles of a block that is compared with another in one task.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 
 def _second(x: np.ndarray) -> np.ndarray:
@@ -96,10 +95,6 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-def _list(values: np.ndarray, width: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, width, dtype=np.int32)), pa.array(values.ravel()))
-
-
 def document_key(doc_id: str, text: str) -> "F.Column":
     """Tells rows apart unless both their id and their text are the same."""
     return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
@@ -130,19 +125,16 @@ def sketch(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
     return rows_of.mapInArrow(make, "row long, key long, doc_id long, n_shingles long, print string, bands array<long>")
 
 
-def full_sets(docs: DataFrame, text: str, size: int, coordinates: int) -> DataFrame:
-    """Of docs with their key as id: (id, shingles, coords): the full set, and a byte of each signature coordinate."""
+def full_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """Of docs with their key as id: (id, shingles), the full set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in regrouped(batches, "text"):
             sets, offsets = shingle_sets(batch.column("text"), size)
-            n = np.diff(offsets)
-            coords = np.zeros((len(n), coordinates), np.uint8)
-            coords[n > 0] = signatures(sets, np.append(offsets[:-1][n > 0], len(sets)), coordinates).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64))), pa.array([c.tobytes() for c in coords], pa.binary())], ["id", "shingles", "coords"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))], ["id", "shingles"])
 
     rows_of = docs.select("id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows_of.mapInArrow(make, "id long, shingles array<long>, coords binary")
+    return rows_of.mapInArrow(make, "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,31 +148,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, ["b", "part"]).filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def apart(members: DataFrame, percent: int, coordinates: int, likely: float = LIKELY) -> DataFrame:
-    """Pairs of members(bucket, id, component, n, coords) of one bucket and different components that may
-    reach the threshold by size and signature. Large buckets are compared block against block."""
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "coords")
+def split_buckets(placed: DataFrame) -> DataFrame:
+    """(bucket, blocks) of those buckets of placed(bucket, id, n, component) that lie in several components
+    and have members that were not compared yet; of buckets with the same members, one."""
+    found = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark"))
+    found = found.filter("low < high and members > 2").groupBy("members", "shingles", "mark").agg(F.min("bucket").alias("bucket"))
+    return found.select("bucket", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
+def late_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each bucket of members(bucket, blocks, id, component, shingles).
+
+    Full sets are intersected as matrix products inside a task, large buckets block against block; of the
+    links between two components one leaves the task, and none between components joined by others.
+    """
+    placed = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "shingles")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, component, n = (group.column(c).to_numpy() for c in ("id", "component", "n"))
-        own, i, j = (group.column(c).to_numpy() for c in ("own", "i", "j"))
-        coords = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.uint8).reshape(len(ids), coordinates)
-        left = np.flatnonzero(own == i[0])
-        right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
-        a, b = [], []
-        for p in left:
-            q = right[(component[right] != component[p]) & (100 * np.minimum(n[right], n[p]) >= percent * np.maximum(n[right], n[p]))]
-            if i[0] == j[0]:
-                q = q[ids[q] > ids[p]]
-            q = q[(coords[q] == coords[p]).mean(axis=1) >= likely]
-            a.append(np.maximum(ids[q], ids[p]))
-            b.append(np.minimum(ids[q], ids[p]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or empty), pa.int64()), "b": pa.array(np.concatenate(b or empty), pa.int64())})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        ids, component, own = (group.column(c).to_numpy() for c in ("id", "component", "own"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        lists = group.column("shingles").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times[column] > 1  # what one member alone has meets nothing
+        row, column = np.repeat(np.arange(len(ids)), n)[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        both = np.zeros((len(left), len(right)), np.float32)
+        width = 2048
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [first, first + width])
+            has = np.zeros((len(ids), width), np.float32)
+            has[row[a:b], column[a:b] - first] = 1
+            both += has[left] @ has[right].T
+        near = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        near &= component[left][:, None] != component[right][None, :]
+        p, q = (x[y] for x, y in zip((left, right), np.nonzero(near), strict=True))
+        root = {int(c): int(c) for c in np.unique(component)}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        _, code = np.unique(component, return_inverse=True)
+        _, first_of = np.unique(np.minimum(code[p], code[q]) * len(ids) + np.maximum(code[p], code[q]), return_index=True)
+        kept = []
+        for at in first_of.tolist():
+            one, two = top(int(component[p[at]])), top(int(component[q[at]]))
+            if one != two:
+                root[one] = two
+                kept.append(at)
+        return pa.table({"a": pa.array(ids[p[kept]], pa.int64()), "b": pa.array(ids[q[kept]], pa.int64())})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -202,16 +225,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = materialize(member.join(shared, "bucket"), "buckets")
     wanted = shared.select("id").distinct()
     keyed = docs.withColumn("id", document_key(doc_id, text)).select("id", text)
-    sets = materialize(full_sets(keyed.join(wanted, "id", "left_semi"), text, shingle, bands * rows).dropDuplicates(["id"]), "sets")
+    sets = materialize(full_sets(keyed.join(wanted, "id", "left_semi"), text, shingle).dropDuplicates(["id"]), "sets")
     firsts = shared.filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     star = materialize(confirmed(firsts, sets, percent), "stars")
     reached = materialize(connected_components(star), "reached")
     placed = materialize(shared.join(reached, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    open_pairs = apart(placed.join(split, "bucket").join(sets.select("id", "coords"), "id").select("bucket", "id", "component", "n", "coords"), percent, bands * rows)
-    # The stars' own pairs are settled; the rest is confirmed the same way.
-    tried = firsts.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    late = materialize(confirmed(open_pairs.join(tried, ["a", "b"], "left_anti"), sets, percent), "late")
+    split = materialize(split_buckets(placed), "split")
+    late = materialize(late_links(placed.join(split, "bucket").join(sets, "id").select("bucket", "blocks", "id", "component", "shingles"), percent), "late")
     found = connected_components(star.union(late)).withColumnRenamed("id", "class")
     of_class = classes.select("print", F.col("id").alias("class")).join(found, "class", "left").select("print", F.coalesce("component", "class").alias("component"))
     # An empty set is a component of its own, told by its row, which is no key's print.
