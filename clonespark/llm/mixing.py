@@ -106,16 +106,21 @@ def schedule(spark, plan: list[dict]) -> DataFrame:
     return ranked.unionByName(more.select((F.lit(total) + F.col("rank")).alias("slot"), "s", "rank"))
 
 
+def row_key(doc_id: str, text: str) -> "F.Column":
+    """Tells rows apart unless both their id and their text are the same, and shuffles them."""
+    return F.xxhash64(F.lit(11), F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
 def measured(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """(row, doc_id, source, size, key): row tells any two rows apart."""
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words.alias("size"), F.xxhash64(F.lit(11), doc_id, text).alias("key"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words.alias("size"), row_key(doc_id, text).alias("key"))
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3, block: int = BLOCK_TOKENS, bucket_rows: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, plan) of a mix.
 
-    documents: row, doc_id, source, size (words), s, position (its place on its
+    documents: row, key, doc_id, source, size (words), s, position (its place on its
     source's line); pieces: slot, s, row, first, last: the words of a document
     that a slot takes; plan: s, source, source_size, target, take. A null text
     has no words and is in no piece; sources go by code point, a null one last,
@@ -132,8 +137,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     sums = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = placed.groupBy("s", "bucket").agg(F.sum("size").alias("n")).select("s", "bucket", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("before"))
     own = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = placed.withColumn("upto", F.sum("size").over(own)).join(before, ["s", "bucket"]).select("row", "doc_id", "source", "size", "s", (F.col("before") + F.col("upto") - F.col("size")).alias("position"))
-    line = materialize(line.unionByName(known.filter("size = 0").select("row", "doc_id", "source", "size", "s", F.lit(None).cast("long").alias("position"))), "line")
+    line = placed.withColumn("upto", F.sum("size").over(own)).join(before, ["s", "bucket"]).select("row", "key", "doc_id", "source", "size", "s", (F.col("before") + F.col("upto") - F.col("size")).alias("position"))
+    line = materialize(line.unionByName(known.filter("size = 0").select("row", "key", "doc_id", "source", "size", "s", F.lit(None).cast("long").alias("position"))), "line")
     # A document lies in one block or in several.
     lies = line.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("position") / block), F.floor((F.col("position") + F.col("size") - 1) / block))))
     lies = lies.select("s", "block", "row", "position", F.greatest("position", F.col("block") * block).alias("a"), F.least(F.col("position") + F.col("size"), (F.col("block") + 1) * block).alias("b"))
@@ -143,6 +148,6 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 
 def taken_words(documents: DataFrame, pieces: DataFrame, plan: DataFrame) -> DataFrame:
-    """row, doc_id, size, source_size, target, taken of every document."""
+    """row, key, doc_id, size, source_size, target, taken of every document."""
     taken = pieces.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    return documents.join(plan.select("s", "source_size", "target"), "s").join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return documents.join(plan.select("s", "source_size", "target"), "s").join(taken, "row", "left").select("row", "key", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -57,7 +57,7 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(*mix_sources(table(spark, sf_dir, "documents"))).drop("row")
+    return taken_words(*mix_sources(table(spark, sf_dir, "documents"))).drop("row", "key")
 
 
 def op9_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

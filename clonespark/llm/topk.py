@@ -133,7 +133,7 @@ def exact_top_k(vectors: DataFrame, query: str | F.Column, vec_id: str = "vec_id
         return pa.table({"query_row": wanted.column("row").to_numpy()[q], "query_id": wanted.column("vec_id").to_numpy()[q], "vec_id": ids[order][at], "row": rows[order][at], "score": score})
 
     one = held.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-    two = asked.withColumn("set", F.pmod(F.xxhash64("row"), F.lit(sets)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    two = asked.withColumn("set", F.pmod(F.xxhash64("row"), F.lit(sets)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     near = one.groupBy("block", "set").cogroup(two.groupBy("block", "set")).applyInArrow(search, "query_row long, query_id long, vec_id long, row long, score long")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
