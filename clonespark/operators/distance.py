@@ -73,7 +73,8 @@ class DistanceSpec:
 
 def _prepared(df: DataFrame, idx: str, spec: DistanceSpec, extra: tuple[str, ...] = ()) -> DataFrame:
     require_columns(df, [idx, *spec.active, *extra])
-    return df.select(F.col(idx).cast("long").alias("i"), *spec.active, *extra)
+    # New names for each side, so that a table can be compared with itself.
+    return df.select(F.col(idx).cast("long").alias("i"), *[F.col(c).alias(c) for c in (*spec.active, *extra)])
 
 
 def _classes(spec: DistanceSpec) -> list[Column]:
