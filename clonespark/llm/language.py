@@ -162,8 +162,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return LanguageModel(languages, slots, np.minimum(fill**2, 0.99))
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and known added.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """docs with lang_pred, score and known added, or other names for these.
 
     lang_pred is a learned language, or "und" where the text is null or has no
     letter; score is that language's share of the hits of all, 0 to 1; known is
@@ -185,8 +185,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             empty = [np.zeros(0)]
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score or empty)), pa.array(np.concatenate(known or empty))], ["lang", "score", "known"])
 
-    held = docs.withColumn("lang_found", predict(F.col(text)))
-    return held.withColumns({"lang_pred": F.col("lang_found.lang"), "score": F.col("lang_found.score"), "known": F.col("lang_found.known")}).drop("lang_found")
+    held = docs.withColumn("__found", predict(F.col(text)))
+    return held.withColumns({name: F.col(f"__found.{part}") for name, part in zip(names, ("lang", "score", "known"), strict=True)}).drop("__found")
 
 
 def remainder(doc_id: str, by: int) -> "F.Column":
