@@ -27,14 +27,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     is null, has no letter, or is in none of the languages.
     """
     model = train(docs.filter(remainder("doc_id", 4) != 2))
-    found = identify(docs.withColumnRenamed("score", "score_of_docs") if "score" in docs.columns else docs, model)
-    return found.filter((F.col("lang_pred") != UNDECIDED) & (F.col("known") > LEAST_KNOWN)).select(*docs.columns)
+    found = identify(docs, model, names=("__lang", "__score", "__known"))
+    return found.filter((F.col("__lang") != UNDECIDED) & (F.col("__known") > LEAST_KNOWN)).select(*docs.columns)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id."""
     found = materialize(near_duplicates(docs).select("key", "first"), "found")
-    kept = docs.withColumn("kept_key", document_key("doc_id", "text")).join(found.filter("first").select(F.col("key").alias("kept_key")), "kept_key", "left_semi")
+    kept = docs.withColumn("__kept_key", document_key("doc_id", "text")).join(found.filter("first").select(F.col("key").alias("__kept_key")), "__kept_key", "left_semi")
     return one_each(kept, found).select(*docs.columns)
 
 
@@ -42,7 +42,7 @@ def one_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs with one row for each kept_key; the texts are shuffled only where keys has repeats."""
     if keys.groupBy("key").count().filter("count > 1").isEmpty():
         return docs
-    return docs.dropDuplicates(["kept_key"])
+    return docs.dropDuplicates(["__kept_key"])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     one of which it takes less than half does not appear.
     """
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    taken = materialize(taken_words(*mix_sources(docs)).select("key", times.alias("times")), "taken")
-    often = taken.groupBy("key").agg(F.sum("times").cast("int").alias("times")).filter("times > 0").select(F.col("key").alias("kept_key"), "times")
-    mixed = docs.withColumn("kept_key", row_key("doc_id", "text")).join(often, "kept_key")
-    return one_each(mixed, taken).withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    taken = materialize(taken_words(*mix_sources(docs)).select("key", times.alias("__times")), "taken")
+    often = taken.groupBy("key").agg(F.sum("__times").cast("int").alias("__times")).filter("__times > 0").select(F.col("key").alias("__kept_key"), "__times")
+    mixed = docs.withColumn("__kept_key", row_key("doc_id", "text")).join(often, "__kept_key")
+    return one_each(mixed, taken).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
