@@ -148,8 +148,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         return LanguageModel(languages, np.zeros((1, 64), np.uint64), np.zeros(len(languages)))
     all_of = F.create_map(*[F.lit(x) for i, n in total.items() for x in (i, float(n))])
     rated = grams.withColumn("rate", F.col("n") / all_of[F.col("i")])
-    kept = rated.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).filter((F.col("n") >= 2) & (F.col("rate") >= share * F.col("most"))).select("i", "h").toPandas()
-    size = 1 << max(10, int(np.ceil(np.log2(8 * max(1, kept["h"].nunique())))))
+    kept = rated.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).filter((F.col("n") >= 2) & (F.col("rate") >= share * F.col("most"))).select("i", "h").toArrow()
+    size = 1 << max(10, int(np.ceil(np.log2(8 * max(1, len(kept["h"].unique()))))))
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     slots = np.zeros((-(-len(languages) // 64), size), kind)
     h, i = kept["h"].to_numpy().astype(np.int64).view(np.uint64), kept["i"].to_numpy()

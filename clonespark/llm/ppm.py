@@ -189,7 +189,7 @@ class Trie:
 
 def train_trie(counts: DataFrame, texts: int, nodes: int = NODES, order: int = ORDER) -> Trie:
     """A trie from word counts and the number of texts, which are as many ends."""
-    kept = most_frequent(materialize(trie_nodes(counts, order), "trie"), nodes).toPandas()
+    kept = most_frequent(materialize(trie_nodes(counts, order), "trie"), nodes).select("node", "n").toArrow()
     node, n = kept["node"].to_numpy().astype(np.int64).view(np.uint64), kept["n"].to_numpy()
     if texts:
         ends = [END] + [1 << 56 | SPACE << 8 | END] * (order > 0)
@@ -213,9 +213,9 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
     found = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     train_tokens, distinct = (found["n"] or 0) + texts, found["v"] + (texts > 0)
     trie = train_trie(counts, texts, nodes, order)
-    frequent = most_frequent(counts, common).toPandas()
+    frequent = most_frequent(counts, common).select("word", "n").toArrow()
     log_all = float(np.log10(train_tokens + add * (distinct + 1)))
-    held = spark.sparkContext.broadcast((trie, dict(zip(frequent["word"], np.log10(frequent["n"].to_numpy(np.float64) + add) - log_all, strict=True))))
+    held = spark.sparkContext.broadcast((trie, dict(zip(frequent["word"].to_pylist(), (np.log10(frequent["n"].to_numpy().astype(np.float64) + add) - log_all).tolist(), strict=True))))
     end_base, end_score = float(np.log10(texts + add)) - log_all, trie.end_log10()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
