@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """A copy in the checkpoint folder, which executors share."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -23,13 +23,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, idx: str = "i")
 
     Labels spread over edges and then jump to their labels' labels, so long chains take few rounds.
     """
-    both = _cut(edges.select("i", "j").union(edges.select("j", "i")).filter("i <> j").distinct())
-    labels = _cut(vertices.select(F.col(idx).cast("long").alias("i"), F.col(idx).cast("long").alias("l")))
+    both = cut_lineage(edges.select("i", "j").union(edges.select("j", "i")).filter("i <> j").distinct())
+    labels = cut_lineage(vertices.select(F.col(idx).cast("long").alias("i"), F.col(idx).cast("long").alias("l")))
     while True:
         near = both.join(labels.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("l").alias("m"))
         spread = labels.join(near, "i", "left").select("i", F.least("l", "m").alias("n"), "l")
         jumped = spread.join(spread.select(F.col("i").alias("n"), F.col("n").alias("o")), "n", "left").select("i", F.least("n", "o").alias("l"), F.col("l").alias("old"))
-        jumped = _cut(jumped)
+        jumped = cut_lineage(jumped)
         if jumped.filter("l <> old").isEmpty():
             return jumped.select("i", F.col("l").alias("component"))
         labels = jumped.select("i", "l")
@@ -47,11 +47,11 @@ def k_core(vertices: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     kept, links = vertices.select("i"), edges.select("i", "j").filter("i < j").distinct()
     while least > 0:
         degree = links.select("i").union(links.select(F.col("j").alias("i"))).groupBy("i").agg(F.count("*").alias("n"))
-        stay = _cut(kept.join(degree.filter(F.col("n") >= least), "i", "left_semi"))
+        stay = cut_lineage(kept.join(degree.filter(F.col("n") >= least), "i", "left_semi"))
         if stay.count() == kept.count():
             break
         kept = stay
-        links = _cut(links.join(kept, "i", "left_semi").join(kept.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j"))
+        links = cut_lineage(links.join(kept, "i", "left_semi").join(kept.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j"))
     return vertices.select("i") if kept.isEmpty() else kept
 
 
@@ -123,7 +123,7 @@ def dbscan(vertices: DataFrame, edges: DataFrame, eps: float, min_points: int =
     """(i, cluster): density clusters from 1, 0 for noise; a point counts among its own neighbours. A
     border point goes to its nearest core point's cluster."""
     near = edges.filter((F.col("dist") <= eps) & (F.col("i") != F.col("j"))).select("i", "j", "dist")
-    core = _cut(near.groupBy("i").agg((F.count("*") + 1).alias("n")).filter(F.col("n") >= min_points).select("i")) if min_points > 1 else vertices.select("i")
+    core = cut_lineage(near.groupBy("i").agg((F.count("*") + 1).alias("n")).filter(F.col("n") >= min_points).select("i")) if min_points > 1 else vertices.select("i")
     links = near.join(core, "i", "left_semi").join(core.select(F.col("i").alias("j")), "j", "left_semi")
     groups = by_size(connected_components(core, links))
     border = near.join(core, "i", "left_anti").join(groups.select(F.col("i").alias("j"), "cluster"), "j").groupBy("i").agg(F.min(F.struct("dist", "cluster")).alias("m")).select("i", F.col("m.cluster").alias("cluster"))

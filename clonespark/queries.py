@@ -199,9 +199,9 @@ def knn_masked(spark, sf_dir):
     return dst.knn(clones(spark, sf_dir, "supplier"), 7, ["cdr3b"], agroup="va")
 
 
-@query(f"WITH {SUPPLIERS}, {seq_distances_sql('cdr3b', 'sd', 'su', 'su')} SELECT p.clone_idx AS i, q.clone_idx AS j, dist FROM sd JOIN su p ON p.cdr3b = x JOIN su q ON q.cdr3b = y WHERE dist <= 48 AND p.clone_idx <> q.clone_idx AND p.va <> q.va AND p.vb <> q.vb")
+@query(f"WITH {SUPPLIERS}, {seq_distances_sql('cdr3b', 'sd', 'su', 'su')} SELECT p.clone_idx AS i, q.clone_idx AS j, dist FROM sd JOIN su p ON p.cdr3b = x JOIN su q ON q.cdr3b = y WHERE dist <= 48 AND p.clone_idx <> q.clone_idx AND p.vb <> q.vb AND p.subject <> q.subject")
 def radius_neighbours(spark, sf_dir):
-    return dst.radius_neighbours(clones(spark, sf_dir, "supplier"), 48, ["cdr3b"], agroup="va", bgroup="vb")
+    return dst.radius_neighbours(clones(spark, sf_dir, "supplier"), 48, ["cdr3b"], agroup="vb", bgroup="subject")
 
 
 @query(f"WITH {SUPPLIERS}, {seq_distances_sql('cdr3b', 'sd', 'su', 'su')}, ps AS (SELECT p.clone_idx AS i, q.clone_idx AS j, dist FROM sd JOIN su p ON p.cdr3b = x JOIN su q ON q.cdr3b = y WHERE p.clone_idx <> q.clone_idx) SELECT i, CAST(r AS INTEGER) AS rank, j, dist FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS r FROM ps) WHERE r <= 4")
@@ -564,13 +564,13 @@ def _cd8_sql() -> str:
         letters = f"list_sum(list_transform(range(0, {n}), lambda k: (((20*({block}) + instr('{AMINO_ACIDS}', substr({s}, CAST(k + 1 AS INTEGER), 1)) - 1)*{scale}) % 17 - 8)/10))"
         return f"{case('v' + c, m.v, m.other_v)} + {case('j' + c, m.j, m.other_j)} + ((greatest(least({n}, 21), 9) - 9)*{scale} % 17 - 8)/10 + {letters} + 0.25"
 
-    return f"WITH {BASE} SELECT clone_idx, round(0.5*({chain('a', 5)}) + 0.5*({chain('b', 7)}), 6) AS cd8_score FROM cl"
+    return f"WITH {BASE} SELECT clone_idx, round(0.5*({chain('a', 5)}) + 0.5*({chain('b', 7)}), 6) + 0.0 AS cd8_score FROM cl"
 
 
 @query(_cd8_sql())
 def cd8_score(spark, sf_dir):
     """Scores by a model whose weights follow a rule."""
-    return cd8_scores(clones(spark, sf_dir), {"A": _rule_model(5), "B": _rule_model(7)}).select("clone_idx", F.round("cd8_score", 6).alias("cd8_score"))
+    return cd8_scores(clones(spark, sf_dir), {"A": _rule_model(5), "B": _rule_model(7)}).select("clone_idx", (F.round("cd8_score", 6) + 0.0).alias("cd8_score"))
 
 
 #: A synthetic V, J and D segment each.
