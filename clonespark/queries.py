@@ -20,7 +20,7 @@ from clonespark.operators import distance as dst
 from clonespark.operators import embedding, enrichment, graph, plotdata
 from clonespark.operators.cd8 import ChainModel, cd8_scores
 from clonespark.operators.genes import v_distances
-from clonespark.operators.junction import nucleotide_sources, with_junctions
+from clonespark.operators.junction import background_frequencies, nucleotide_sources, shuffled_chains, with_junctions
 from clonespark.operators.repertoire import build_repertoire, deduplicate_clones
 from clonespark.sources import readers
 
@@ -535,14 +535,14 @@ def fuzzy_graph(spark, sf_dir):
 
 @query()
 def kernel_pca(spark, sf_dir):
-    c = clones(spark, sf_dir, "supplier").withColumn("clone_idx", F.col("clone_idx") - F.lit(table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]))
-    return embedding.kernel_pca(dst.distance_matrix(c, ["cdr3b"]), c.count(), 5)[0]
+    _, edges, n = _numbered_suppliers(spark, sf_dir)
+    return embedding.kernel_pca(edges, n, 5)[0]
 
 
 @query()
 def hierarchical_clusters(spark, sf_dir):
-    c = clones(spark, sf_dir, "supplier").withColumn("clone_idx", F.col("clone_idx") - F.lit(table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]))
-    return graph.cluster_clones(dst.distance_matrix(c, ["cdr3b"]), c.count(), k=8)
+    _, edges, n = _numbered_suppliers(spark, sf_dir)
+    return graph.cluster_clones(edges, n, k=8)
 
 
 @query()
@@ -597,6 +597,74 @@ def nucleotide_source(spark, sf_dir):
     return nucleotide_sources(_junctions(spark, sf_dir), SEGMENTS, "B").select("clone_idx", F.array_join("nucseq_src", "-").alias("nucseq_src"))
 
 
+@query()
+def shuffled_background(spark, sf_dir):
+    """Chains spliced from pairs of junctions, as many as there are customers."""
+    j = _junctions(spark, sf_dir)
+    return shuffled_chains(j, SEGMENTS, "B", table(spark, sf_dir, "customer").count(), seed=1)
+
+
+@query()
+def background_distribution(spark, sf_dir):
+    """Shares of paired background chains within 0 to 96 of each supplier's clone; the background is all customers' chains."""
+    own, other = clones(spark, sf_dir, "supplier"), clones(spark, sf_dir)
+    spec = dst.DistanceSpec.of(own, "all", v_distances(loops(spark)))
+    return background_frequencies(own, other.select("va", "cdr3a"), other.select("vb", "cdr3b"), spec, 96)
+
+
+MATCHES = f"WITH {SUPPLIERS}, {BASE}, {seq_distances_sql('cdr3b', 'sd', 'su', 'cl')}, m AS (SELECT (SELECT count(*) FROM su) * (SELECT count(*) FROM cl) AS m), e AS (SELECT p.clone_idx AS query_index, q.clone_idx AS db_index, dist AS tcrdist, 1e-9*(dist + 1) AS f, q.epitope AS db_epitope FROM sd JOIN su p ON p.cdr3b = x JOIN cl q ON q.cdr3b = y WHERE dist <= 200), r AS (SELECT *, m*f/(rank() OVER (ORDER BY f) + count(*) OVER (PARTITION BY f) - 1) AS raw, m*f AS pvalue_adj FROM e, m)"
+
+
+@query(f"{MATCHES} SELECT query_index, db_index, tcrdist, db_epitope, round(pvalue_adj, 9) AS pvalue_adj, round(least(1, min(raw) OVER (ORDER BY f DESC RANGE UNBOUNDED PRECEDING)), 9) AS fdr_value FROM r WHERE pvalue_adj <= 1")
+def database_matches(spark, sf_dir):
+    """Customers' clones nearer to suppliers' than a background that grows with the distance explains."""
+    own, other = clones(spark, sf_dir, "supplier"), clones(spark, sf_dir)
+    background = own.select(F.col("clone_idx").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(200))).alias("d")).withColumn("freq", 1e-9 * (F.col("d") + 1))
+    found = enrichment.significant_matches(own, other.select("clone_idx", "vb", "cdr3b", "epitope"), background, dst.DistanceSpec(("cdr3b",)))
+    return found.select("query_index", "db_index", "tcrdist", "db_epitope", F.round("pvalue_adj", 9).alias("pvalue_adj"), F.round("fdr_value", 9).alias("fdr_value"))
+
+
+@query("WITH b AS (SELECT p_brand AS g FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6), t AS (SELECT p_type AS g FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6), n AS (SELECT 0 AS axis, CASE WHEN p_brand IN (FROM b) THEN p_brand ELSE 'Other' END AS gene, count(*) AS c FROM part GROUP BY 2 UNION ALL SELECT 1, CASE WHEN p_type IN (FROM t) THEN p_type ELSE 'Other' END, count(*) FROM part GROUP BY 2) SELECT gene, c AS \"count\", axis::INTEGER AS axis, CAST(sum(c) OVER (PARTITION BY axis ORDER BY c DESC, gene ROWS UNBOUNDED PRECEDING) AS BIGINT) AS y_top, CAST(sum(c) OVER (PARTITION BY axis ORDER BY c DESC, gene ROWS UNBOUNDED PRECEDING) - c AS BIGINT) AS y_bottom FROM n")
+def sankey_nodes(spark, sf_dir):
+    return plotdata.sankey(table(spark, sf_dir, "part"), ["p_brand", "p_type"], 6)[0]
+
+
+def _numbered_suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Suppliers' clones from 0 on, all their distances, and their number."""
+    c = clones(spark, sf_dir, "supplier").withColumn("clone_idx", F.col("clone_idx") - F.lit(table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]))
+    return c, dst.distance_matrix(c, ["cdr3b"]), c.count()
+
+
+@query()
+def modularity_clusters(spark, sf_dir):
+    _, edges, n = _numbered_suppliers(spark, sf_dir)
+    return graph.cluster_clones(edges, n, "louvain", n_neighbors=5)
+
+
+@query()
+def medoid_clusters(spark, sf_dir):
+    _, edges, n = _numbered_suppliers(spark, sf_dir)
+    return graph.cluster_clones(edges, n, "kmedoids", k=6)
+
+
+@query()
+def dendrogram(spark, sf_dir):
+    _, edges, n = _numbered_suppliers(spark, sf_dir)
+    return plotdata.dendrogram_segments(edges, n)[0]
+
+
+@query()
+def umap_layout(spark, sf_dir):
+    _, edges, n = _numbered_suppliers(spark, sf_dir)
+    return embedding.umap(edges, n, 8)
+
+
+@query()
+def neighbourhood_chi_square(spark, sf_dir):
+    c = clones(spark, sf_dir)
+    return enrichment.neighbourhood_test(dst.distance_sparse(c, 12, ["cdr3b"]), c.select(F.col("clone_idx").alias("i"), F.col("epitope").alias("label")), 12, "chisq").select("i", "n_neighbors", "pvalue", "pvalue_adj")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clones of the reference table near each clone of the other, with their distance."""
     return QUERIES["distance_join"](spark, sf_dir)
