@@ -38,11 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+#: What this process has written to shared folders.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; results that still read them must be stored before."""
+    done = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and reread it: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clonespark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

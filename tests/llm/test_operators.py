@@ -323,3 +323,10 @@ def test_scores(spark):
     assert ppm.score_texts(table.limit(0), training).count() == 0
     none = ppm.score_texts(table, table.limit(0)).filter("doc_id = 7").first()
     assert none.base_score == 0 and abs(none.score + 4 * math.log10(256) + math.log10(256)) < 1e-9
+
+
+def test_intermediate_tables_can_be_released(spark):
+    from clonespark.llm import common
+
+    kept = common.materialize(spark.range(3), "probe")
+    assert kept.count() == 3 and common.release(spark) >= 1 and common.release(spark) == 0
