@@ -254,14 +254,14 @@ def tcr_groups(clones: DataFrame, idx: str = "clone_idx") -> DataFrame:
 
 def distance_join(left: DataFrame, right: DataFrame, radius: float, max_n: int = 5, how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y"), components="all", v_distances: DataFrame | None = None, organism: str | None = None, edges: DataFrame | None = None, idx: str = "clone_idx") -> DataFrame:
     """For each left row its max_n nearest right rows within the radius, all columns suffixed, and the
-    distance as tcrdist. how "left" keeps unmatched rows; if either side is empty there are no rows at all.
+    distance as distance. how "left" keeps unmatched rows; if either side is empty there are no rows at all.
     edges (i, j, dist) are used instead where given."""
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     if edges is None:
         spec = DistanceSpec.of(left, components, v_distances, organism)
         edges = range_pairs(left, right, radius, spec, idx, idx)
-    best = nearest(edges.filter(F.col("dist") <= radius), max_n).drop("rank").withColumnRenamed("dist", "tcrdist")
+    best = nearest(edges.filter(F.col("dist") <= radius), max_n).drop("rank").withColumnRenamed("dist", "distance")
     x = left.select(*[F.col(c).alias(c + suffixes[0]) for c in left.columns])
     y = right.select(*[F.col(c).alias(c + suffixes[1]) for c in right.columns])
     if right.isEmpty():

@@ -37,7 +37,7 @@ class Repertoire:
     clones: DataFrame
     organism: str
     chains: str = "AB"
-    metric: str = "tcrdist"
+    metric: str = "weighted"
     weights: dict = field(default_factory=lambda: {"cdr3": WEIGHT_CDR3, "v_region": WEIGHT_V})
     gap_penalties: dict = field(default_factory=lambda: {"cdr3": GAP_CDR3, "v_region": GAP_V})
     edges: DataFrame | None = None
@@ -49,8 +49,8 @@ class Repertoire:
             raise ValueError(f"chains must be one of {sorted(REQUIRED)}")
         if not isinstance(self.organism, str) or not self.organism:
             raise ValueError("the organism must be a name")
-        if self.metric not in ("tcrdist", "hamming"):
-            raise ValueError("the metric must be tcrdist or hamming")
+        if self.metric not in ("weighted", "hamming"):
+            raise ValueError("the metric must be weighted or hamming")
         for name in ("weights", "gap_penalties"):
             if not {"cdr3", "v_region"} <= set(getattr(self, name)):
                 raise ValueError(f"{name} must name cdr3 and v_region")
@@ -85,7 +85,7 @@ class Repertoire:
         return f"Repertoire(organism={self.organism}, chains={self.chains}, metric={self.metric}, columns={self.clones.columns}, computed={held})"
 
 
-def build_repertoire(clones: DataFrame, organism: str, chains: str = "AB", metric: str = "tcrdist", deduplicate: bool | list[str] = True, compute_distances: bool = False, v_distances: DataFrame | None = None, order: list[str] | None = None, **parameters) -> Repertoire:
+def build_repertoire(clones: DataFrame, organism: str, chains: str = "AB", metric: str = "weighted", deduplicate: bool | list[str] = True, compute_distances: bool = False, v_distances: DataFrame | None = None, order: list[str] | None = None, **parameters) -> Repertoire:
     """A repertoire: validated, deduplicated (by chains and subject, or by chains and the named columns),
     numbered by its columns, with all distances if asked for. Weights of the V region are held and, like
     its gap penalty, not applied."""

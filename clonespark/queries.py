@@ -221,7 +221,7 @@ def clone_group_ids(spark, sf_dir):
 
 
 JOIN_COLUMNS = "clone_idx, cdr3b"
-JOIN_SQL = f"WITH {SUPPLIERS}, {BASE}, {seq_distances_sql('cdr3b', 'sd', 'su', 'cl')}, ps AS (SELECT p.clone_idx AS clone_idx_x, p.cdr3b AS cdr3b_x, q.clone_idx AS clone_idx_y, q.cdr3b AS cdr3b_y, dist AS tcrdist FROM sd JOIN su p ON p.cdr3b = x JOIN cl q ON q.cdr3b = y WHERE dist <= 6), best AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY clone_idx_x ORDER BY tcrdist, clone_idx_y) AS r FROM ps) WHERE r <= 3)"
+JOIN_SQL = f"WITH {SUPPLIERS}, {BASE}, {seq_distances_sql('cdr3b', 'sd', 'su', 'cl')}, ps AS (SELECT p.clone_idx AS clone_idx_x, p.cdr3b AS cdr3b_x, q.clone_idx AS clone_idx_y, q.cdr3b AS cdr3b_y, dist AS distance FROM sd JOIN su p ON p.cdr3b = x JOIN cl q ON q.cdr3b = y WHERE dist <= 6), best AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY clone_idx_x ORDER BY distance, clone_idx_y) AS r FROM ps) WHERE r <= 3)"
 
 
 @query(f"{JOIN_SQL} SELECT * FROM best")
@@ -612,16 +612,16 @@ def background_distribution(spark, sf_dir):
     return background_frequencies(own, other.select("va", "cdr3a"), other.select("vb", "cdr3b"), spec, 96)
 
 
-MATCHES = f"WITH {SUPPLIERS}, {BASE}, {seq_distances_sql('cdr3b', 'sd', 'su', 'cl')}, m AS (SELECT (SELECT count(*) FROM su) * (SELECT count(*) FROM cl) AS m), e AS (SELECT p.clone_idx AS query_index, q.clone_idx AS db_index, dist AS tcrdist, 1e-9*(dist + 1) AS f, q.epitope AS db_epitope FROM sd JOIN su p ON p.cdr3b = x JOIN cl q ON q.cdr3b = y WHERE dist <= 200), r AS (SELECT *, m*f/(rank() OVER (ORDER BY f) + count(*) OVER (PARTITION BY f) - 1) AS raw, m*f AS pvalue_adj FROM e, m)"
+MATCHES = f"WITH {SUPPLIERS}, {BASE}, {seq_distances_sql('cdr3b', 'sd', 'su', 'cl')}, m AS (SELECT (SELECT count(*) FROM su) * (SELECT count(*) FROM cl) AS m), e AS (SELECT p.clone_idx AS query_index, q.clone_idx AS db_index, dist AS distance, 1e-9*(dist + 1) AS f, q.epitope AS db_epitope FROM sd JOIN su p ON p.cdr3b = x JOIN cl q ON q.cdr3b = y WHERE dist <= 200), r AS (SELECT *, m*f/(rank() OVER (ORDER BY f) + count(*) OVER (PARTITION BY f) - 1) AS raw, m*f AS pvalue_adj FROM e, m)"
 
 
-@query(f"{MATCHES} SELECT query_index, db_index, tcrdist, db_epitope, round(pvalue_adj, 9) AS pvalue_adj, round(least(1, min(raw) OVER (ORDER BY f DESC RANGE UNBOUNDED PRECEDING)), 9) AS fdr_value FROM r WHERE pvalue_adj <= 1")
+@query(f"{MATCHES} SELECT query_index, db_index, distance, db_epitope, round(pvalue_adj, 9) AS pvalue_adj, round(least(1, min(raw) OVER (ORDER BY f DESC RANGE UNBOUNDED PRECEDING)), 9) AS fdr_value FROM r WHERE pvalue_adj <= 1")
 def database_matches(spark, sf_dir):
     """Customers' clones nearer to suppliers' than a background that grows with the distance explains."""
     own, other = clones(spark, sf_dir, "supplier"), clones(spark, sf_dir)
     background = own.select(F.col("clone_idx").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(200))).alias("d")).withColumn("freq", 1e-9 * (F.col("d") + 1))
     found = enrichment.significant_matches(own, other.select("clone_idx", "vb", "cdr3b", "epitope"), background, dst.DistanceSpec(("cdr3b",)))
-    return found.select("query_index", "db_index", "tcrdist", "db_epitope", F.round("pvalue_adj", 9).alias("pvalue_adj"), F.round("fdr_value", 9).alias("fdr_value"))
+    return found.select("query_index", "db_index", "distance", "db_epitope", F.round("pvalue_adj", 9).alias("pvalue_adj"), F.round("fdr_value", 9).alias("fdr_value"))
 
 
 @query("WITH b AS (SELECT p_brand AS g FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6), t AS (SELECT p_type AS g FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6), n AS (SELECT 0 AS axis, CASE WHEN p_brand IN (FROM b) THEN p_brand ELSE 'Other' END AS gene, count(*) AS c FROM part GROUP BY 2 UNION ALL SELECT 1, CASE WHEN p_type IN (FROM t) THEN p_type ELSE 'Other' END, count(*) FROM part GROUP BY 2) SELECT gene, c AS \"count\", axis::INTEGER AS axis, CAST(sum(c) OVER (PARTITION BY axis ORDER BY c DESC, gene ROWS UNBOUNDED PRECEDING) AS BIGINT) AS y_top, CAST(sum(c) OVER (PARTITION BY axis ORDER BY c DESC, gene ROWS UNBOUNDED PRECEDING) - c AS BIGINT) AS y_bottom FROM n")

@@ -12,7 +12,7 @@ from clonespark.functions.exprs import convert_adaptive_gene, ctaa_chain, ctgene
 GENES = ("va", "ja", "vb", "jb")
 #: Column names of the formats.
 COLUMN_MAPS = {
-    "tcrdist3": {"v_a_gene": "va", "j_a_gene": "ja", "cdr3_a_aa": "cdr3a", "cdr3_a_nucseq": "cdr3a_nucseq", "v_b_gene": "vb", "j_b_gene": "jb", "cdr3_b_aa": "cdr3b", "cdr3_b_nucseq": "cdr3b_nucseq"},
+    "dash": {"v_a_gene": "va", "j_a_gene": "ja", "cdr3_a_aa": "cdr3a", "cdr3_a_nucseq": "cdr3a_nucseq", "v_b_gene": "vb", "j_b_gene": "jb", "cdr3_b_aa": "cdr3b", "cdr3_b_nucseq": "cdr3b_nucseq"},
     "scirpy": {"IR_VJ_1_v_call": "va", "IR_VJ_1_j_call": "ja", "IR_VJ_1_junction_aa": "cdr3a", "IR_VDJ_1_v_call": "vb", "IR_VDJ_1_j_call": "jb", "IR_VDJ_1_junction_aa": "cdr3b"},
     "dandelion": {"v_call_VJ": "va", "j_call_VJ": "ja", "junction_aa_VJ": "cdr3a", "v_call_VDJ": "vb", "j_call_VDJ": "jb", "junction_aa_VDJ": "cdr3b"},
 }
@@ -45,12 +45,12 @@ def from_screpertoire(df: DataFrame) -> DataFrame:
 
 
 def detect_format(columns: list[str]) -> str:
-    """canonical, screpertoire, scirpy, dandelion or tcrdist3."""
+    """canonical, screpertoire, scirpy, dandelion or dash."""
     if set(CANONICAL) <= set(columns):
         return "canonical"
     if screpertoire_suffix(columns) is not None:
         return "screpertoire"
-    for name in ("scirpy", "dandelion", "tcrdist3"):
+    for name in ("scirpy", "dandelion", "dash"):
         if sum(c in columns for c in COLUMN_MAPS[name]) >= 4:
             return name
     raise ValueError(f"no known format has the columns {columns}")

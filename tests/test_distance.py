@@ -116,7 +116,7 @@ def test_join(clones):
     got = dst.distance_join(left, right, 40, 2, components=["cdr3b"])
     for i in range(10):
         own = sorted((want[i, j], j) for j in range(5, 60) if want[i, j] <= 40)[:2]
-        assert [(r.tcrdist, r.clone_idx_y) for r in got.filter(F.col("clone_idx_x") == i).orderBy("tcrdist", "clone_idx_y").collect()] == own
+        assert [(r.distance, r.clone_idx_y) for r in got.filter(F.col("clone_idx_x") == i).orderBy("distance", "clone_idx_y").collect()] == own
     outer = dst.distance_join(left, right.filter("clone_idx = 59"), 0, 2, "left", components=["cdr3b"])
     assert outer.select("clone_idx_x").distinct().count() == 10
     assert dst.distance_join(left, right.limit(0), 40, 2, "left", components=["cdr3b"]).count() == 0

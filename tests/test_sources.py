@@ -153,7 +153,7 @@ def test_matches(spark):
     background = spark.range(2).withColumnRenamed("id", "i").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(200)))).withColumn("freq", F.least(F.lit(1.0), 1e-4 * F.pow(F.lit(1.5), F.col("d").cast("double"))))
     got = enrichment.significant_matches(q, db, background, DistanceSpec(("cdr3b",)), 1.0)
     rows = got.collect()
-    assert [(r.query_index, r.db_index, r.tcrdist, r.db_epitope) for r in rows] == [(1, 1, 0.0, "cmv"), (0, 0, 12.0, "flu")]
+    assert [(r.query_index, r.db_index, r.distance, r.db_epitope) for r in rows] == [(1, 1, 0.0, "cmv"), (0, 0, 12.0, "flu")]
     assert abs(rows[0].pvalue_adj - 6e-4) < 1e-12 and abs(rows[1].fdr_value - 6e-4 * 1.5**12 / 2) < 1e-9
     assert enrichment.significant_matches(q, db, background.withColumn("freq", F.lit(1.0)), DistanceSpec(("cdr3b",)), 0.5).count() == 0
     assert math.isclose(enrichment.share_near(spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0)], "i long, j long, dist double"), 5, F.col("j") == 1).first().share, 0.5)
