@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.llm.common import bounded_batches, materialize, partitions_for, regrouped
@@ -144,7 +144,8 @@ def write_token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """Token files of docs in ascending doc_id order, written to the shared folder.
 
     Returns the table of written files: file_part, file_seq (their order),
-    n_ids, n_docs and image, the file itself. Each document's ids end with
+    part_before (ids of the part's files before), n_ids, n_docs and image, the
+    file itself. Each document's ids end with
     end_id. A null text is empty, a null id sorts first, equal ids sort by
     text, so any run writes the same ids in the same order. An empty table
     gives no file. file_bytes: text bytes that go into one file.
@@ -155,36 +156,39 @@ def write_token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part = encoder(path), TaskContext.get().partitionId()
+        own, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for seq, batch in enumerate(regrouped(batches, "text", file_bytes)):
             ids, offsets = own.ids(batch.column("text"))
             n = np.diff(offsets)
             total = np.full(len(ids) + len(n), end_id, np.uint32)
             total[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
             image = encode_file(batch.column("doc_id").to_pylist(), n + 1, total)
-            yield pa.RecordBatch.from_pydict({"file_part": pa.array([part], pa.int64()), "file_seq": pa.array([seq], pa.int64()), "n_ids": pa.array([len(total)], pa.int64()), "n_docs": pa.array([len(n)], pa.int64()), "image": pa.array([image], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"file_part": pa.array([part], pa.int64()), "file_seq": pa.array([seq], pa.int64()), "part_before": pa.array([before], pa.int64()), "n_ids": pa.array([len(total)], pa.int64()), "n_docs": pa.array([len(n)], pa.int64()), "image": pa.array([image], pa.binary())})
+            before += len(total)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(partitions_for(rows, 16 << 20), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(write, "file_part long, file_seq long, n_ids long, n_docs long, image binary"), "token-files")
+    return materialize(ordered.mapInArrow(write, "file_part long, file_seq long, part_before long, n_ids long, n_docs long, image binary"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """What the files hold, a row for each document: doc_id, start, n_tokens, ids_crc32 and ids_bytes.
 
-    start counts the ids of all documents before, over all files; the sums run
-    over one row for each file.
+    start counts the ids of all documents before, over all files: the parts'
+    sums, of which there are as many as partitions were written (200,000 at
+    most), come to the driver and go to every task; the images stay in place.
     """
+    sizes = sorted(map(tuple, files.groupBy("file_part").agg(F.sum("n_ids")).collect()))
+    starts = dict(zip((p for p, _ in sizes), np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for before, image in zip(batch.column("before").to_pylist(), batch.column("image"), strict=True):
+            for part, in_part, image in zip(batch.column("file_part").to_pylist(), batch.column("part_before").to_pylist(), batch.column("image"), strict=True):
+                before = starts[part] + in_part
                 doc_ids, n, ids = decode_file(image.as_buffer())
                 stop = np.cumsum(n)
                 raw = memoryview(np.ascontiguousarray(ids).view(np.uint8))
                 crc = [zlib.crc32(raw[4 * (b - k) : 4 * b]) for b, k in zip(stop.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(before + stop - n), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64())})
 
-    order = Window.orderBy("file_part", "file_seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = files.select("file_part", "file_seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
-    return files.join(before, ["file_part", "file_seq"]).select("before", "image").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("file_part", "part_before", "image").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
