@@ -117,7 +117,7 @@ def measured(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words.alias("size"), row_key(doc_id, text).alias("key"))
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3, block: int = BLOCK_TOKENS, bucket_rows: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3, block: int = BLOCK_TOKENS, bucket_rows: int = 2_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, plan) of a mix.
 
     documents: row, key, doc_id, source, size (words), s, position (its place on its
@@ -131,7 +131,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     held = materialize(measured(docs, doc_id, text, source), "sizes")
     rows = source_plan(held, weights, most, block)
     plan = spark.createDataFrame([tuple(r[c] for c in ("s", "source", "source_size", "target", "take", "blocks", "rounds", "rest")) for r in rows], "s int, source string, source_size long, target double, take long, blocks long, rounds long, rest long")
-    buckets = max(16, held.count() // bucket_rows)
+    buckets = max(128, held.count() // bucket_rows)
     known = held.join(plan.select("s", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     placed = known.filter("size > 0").withColumn("bucket", F.pmod("key", F.lit(buckets)))
     sums = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
