@@ -31,7 +31,7 @@ ORDER = 5
 NODES = 1 << 20
 COMMON = 1 << 17
 SPACE, END = 0x20, 0x0A
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     bounded_batches(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in regrouped(batches, "text", 32 << 20):
+        for batch in regrouped(batches, "text", 16 << 20):
             found = pc.value_counts(words_of(batch.column("text"))[0])
             yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"])
 

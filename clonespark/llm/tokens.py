@@ -37,7 +37,7 @@ _ENDS = ".,;:!?)"
 _LINES = re.compile(rf"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[{_LETTERS}])(?=[.,;:!?)])")
 
 #: Distinct parts that a worker remembers before it starts afresh.
-CACHE_PARTS = 1 << 20
+CACHE_PARTS = 1 << 19
 
 
 def default_tokenizer() -> str:
