@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as by rows, so long texts don't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -132,3 +132,15 @@ def coded(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def row_key(*columns: str) -> "F.Column":
     """64 bits that tell rows of one id apart."""
     return F.xxhash64(*[F.col(c) for c in columns])
+
+
+def with_least(df: DataFrame, group: str, order: "F.Column", by: str, parts: int = 16) -> DataFrame:
+    """df with the least value of order in each row's group, as least.
+
+    Groups of several rows are aggregated before they meet, and their rows join the result in parts, dealt
+    by a hash of column by, so a group that holds many rows is read by many tasks.
+    """
+    found = df.groupBy(group).agg(F.min(order).alias("least"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    dealt = found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    held = df.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).withColumn("__own", order)
+    return held.join(dealt, [group, "__part"], "left").withColumn("least", F.coalesce("least", "__own")).drop("__part", "__own")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import materialize
+from clonespark.llm.common import materialize, with_least
 from clonespark.llm.components import connected_components
 
 BLOCK = 1024
@@ -192,9 +192,8 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = connected_components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     of_class = classes.select("print", "id", "weight", "least").join(counts, "id", "left").join(reached, "id", "left")
-    of_class = materialize(of_class.select("print", F.coalesce("component", "id").alias("component"), "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "of-class")
-    least = of_class.groupBy("component").agg(F.min("least").alias("first"))
-    named = of_class.join(least, "component").select("print", "n_links", F.col("first.vec_id").alias("component_id"))
+    of_class = materialize(of_class.select("print", "id", F.coalesce("component", "id").alias("component"), F.col("least").alias("own"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "of-class")
+    named = with_least(of_class, "component", F.col("own"), "id").select("print", "n_links", F.col("least.vec_id").alias("component_id"))
     linked = rows.filter("print is not null").drop("raw").join(named, "print").select("vec_id", "n_links", "component_id")
     alone = rows.filter("print is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -21,7 +21,7 @@ from clonespark.llm.common import bounded_batches, plain, text_slices
 
 UNDECIDED = "und"
 SIZES = (3, 4)
-_STEP = 4 << 20
+_STEP = 2 << 20
 
 
 @cache

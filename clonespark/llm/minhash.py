@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import bounded_batches, coded, materialize, regrouped, words_of
+from clonespark.llm.common import bounded_batches, coded, materialize, regrouped, with_least, words_of
 from clonespark.llm.components import connected_components
 
 #: 24 bands of 5: a pair at a Jaccard similarity of 0.8 is missed with a chance of 7e-5.
@@ -238,7 +238,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grouped = materialize(held.drop("bands").join(of_class, "print", "left"), "grouped")
     linked = grouped.filter("component is not null")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    least = linked.groupBy("component").agg(F.min(order).alias("least"))
-    linked = linked.join(least, "component").select("row", "key", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("first"))
+    linked = with_least(linked, "component", order, "row").select("row", "key", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("first"))
     alone = grouped.filter("component is null").select("row", "key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return linked.union(alone).select("row", "key", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first")
