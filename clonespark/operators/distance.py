@@ -27,6 +27,13 @@ BLOCK = 1024
 LONGEST = 64
 
 
+def distinct(values: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct values, and the place of each value among them."""
+    place: dict[str, int] = {}
+    at = np.fromiter((place.setdefault(v, len(place)) for v in values), np.int64, len(values))
+    return list(place), at
+
+
 @dataclass(frozen=True)
 class DistanceSpec:
     """What a distance is made of. v: for each chain its genes' places and matrix."""
@@ -65,8 +72,8 @@ class DistanceSpec:
         for column in (c for c in self.active if c.startswith("cdr3")):
             rows, cols = np.flatnonzero(within.any(axis=1)), np.flatnonzero(within.any(axis=0))
             a, b = left.column(column).to_pylist(), right.column(column).to_pylist()
-            part = Sequences([a[i] for i in rows]).distances(Sequences([b[i] for i in cols]), self.weight, self.gap)
-            dist[np.ix_(rows, cols)] += part
+            (ua, ia), (ub, ib) = distinct([a[i] for i in rows]), distinct([b[i] for i in cols])
+            dist[np.ix_(rows, cols)] += Sequences(ua).distances(Sequences(ub), self.weight, self.gap)[np.ix_(ia, ib)]
             within &= dist <= threshold
         return dist, within
 
