@@ -1,12 +1,13 @@
 """Scoring texts by prediction by partial matching.
 
-A text is its lower-cased words, each followed by a space, and an end. A byte is
-predicted in the context of up to ORDER bytes before it, from the space before
-its word on: the count of the byte among those that followed the longest known
-context; for a byte not seen there an escape (method C: as likely as the number
-of distinct bytes seen), then the next shorter context without the bytes already
-ruled out, down to all bytes alike. A byte's code length depends on its gram
-alone, the context of ORDER bytes and the byte: each distinct gram is coded once.
+A text is a space, its lower-cased words, each followed by a space, and an end.
+A byte is predicted in the context of the ORDER bytes before it, which reach over
+the space into the words before: the count of the byte among those that followed
+the longest known context; for a byte not seen there an escape (method C: as
+likely as the number of distinct bytes seen), then the next shorter context
+without the bytes already ruled out, down to all bytes alike. A byte's code
+length depends on its gram alone, the context of ORDER bytes and the byte: each
+distinct gram is coded once.
 
 All grams and words of the training texts are counted, distributed. The trie is
 whole at any size: a gram's nodes of all orders share the end of its context, so
@@ -81,7 +82,7 @@ def keys(stream: np.ndarray, order: int) -> np.ndarray:
 def grams(words: pa.Array, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of all texts, ends too: its node of the highest order and its text's number.
 
-    A context that is cut short is filled up with ends, so the node determines those of all lower orders.
+    A text's first contexts are filled up with ends, so the node determines those of all lower orders.
     """
     before = bytes([END]) * (order - 1) + bytes([SPACE])
     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words.cast(pa.binary()))
@@ -94,11 +95,6 @@ def grams(words: pa.Array, offsets: np.ndarray, order: int = ORDER) -> tuple[np.
     stream = np.frombuffer(texts.buffers()[2], np.uint8, size)
     key = keys(stream, order)
     place = np.arange(size)
-    last = np.maximum.accumulate(np.where(stream == SPACE, place, 0))
-    depth = place[1:] - last[:-1]
-    for back in range(2, order + 1):
-        bits = np.uint64(8 * back)
-        key = np.where(depth >= back, key, key & ~(np.uint64(255) << bits) | np.uint64(END) << bits)
     inside = place - np.repeat(np.cumsum(lengths) - lengths, lengths) >= len(before)
     return key[inside[1:]], np.repeat(np.arange(len(lengths)), lengths - len(before))
 
