@@ -327,6 +327,19 @@ def repertoire_overlap(spark, sf_dir):
     return o.select(*[F.round(c, 6).alias(c) for c in o.columns])
 
 
+OVERLAP_PAIRS = "WITH c AS (SELECT user_id % 3 AS side, event_type || (user_id % 50) AS k, count(*)::DOUBLE AS n FROM events GROUP BY ALL), s AS (SELECT *, n/sum(n) OVER (PARTITION BY side) AS p FROM c), w AS (SELECT side, count(*) AS keys, sum(p*p) AS pp FROM s GROUP BY side), h AS (SELECT x.side AS a, y.side AS b, count(*) AS shared, sum(x.p*y.p) AS pq FROM s x JOIN s y ON x.k = y.k AND x.side < y.side GROUP BY ALL)"
+
+
+@query(f"{OVERLAP_PAIRS} SELECT x.side AS a, y.side AS b, round(coalesce(shared, 0)/(x.keys + y.keys - coalesce(shared, 0)), 6) AS jaccard, round(coalesce(2*pq, 0)/(x.pp + y.pp), 6) AS morisita_horn, round(coalesce(shared, 0)/least(x.keys, y.keys), 6) AS overlap_coef FROM w x JOIN w y ON x.side < y.side LEFT JOIN h ON h.a = x.side AND h.b = y.side")
+def repertoire_overlap_pairs(spark, sf_dir):
+    """The whole table in three repertoires, by user modulo 3: one overlap for each pair of them."""
+    e = table(spark, sf_dir, "events").select(F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("key"), (F.col("user_id") % 3).alias("side"), F.lit(1).alias("count"))
+    side = lambda k: e.filter(F.col("side") == k)
+    pairs = [div.overlap(side(a), side(b), "key").withColumns({"a": F.lit(a), "b": F.lit(b)}) for a, b in ((0, 1), (0, 2), (1, 2))]
+    o = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+    return o.select("a", "b", *[F.round(c, 6).alias(c) for c in ("jaccard", "morisita_horn", "overlap_coef")])
+
+
 @query("WITH k AS (SELECT DISTINCT n_regionkey AS g, p.o_custkey % 97 AS k FROM orders p JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT g, count(*) AS n FROM k GROUP BY g), h AS (SELECT x.g AS a, y.g AS b, count(*) AS s FROM k x JOIN k y ON x.k = y.k AND x.g < y.g GROUP BY ALL) SELECT x.g AS a, y.g AS b, round(coalesce(h.s, 0)/(x.n + y.n - coalesce(h.s, 0)), 6) AS jaccard FROM s x JOIN s y ON x.g < y.g LEFT JOIN h ON h.a = x.g AND h.b = y.g")
 def pairwise_jaccard(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
