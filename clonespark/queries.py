@@ -241,6 +241,19 @@ def strict_alpha_matches(spark, sf_dir):
     return dst.strict_matches(clones(spark, sf_dir, "supplier").filter(F.col("subject").isin("1", "2", "3")), clones(spark, sf_dir))[0].select("clone_idx", "cdr3a")
 
 
+UNMATCHED = "db AS (SELECT clone_idx, CASE WHEN clone_idx % 5 = 4 THEN 'C' || cdr3a ELSE cdr3a END AS cdr3a, CASE WHEN clone_idx % 7 = 3 THEN 'C' || cdr3b ELSE cdr3b END AS cdr3b FROM cl)"
+
+
+@query(f"WITH {SUPPLIERS}, {BASE}, {UNMATCHED} SELECT 'alpha' AS chain, clone_idx, cdr3a AS cdr3 FROM db WHERE cdr3a IN (SELECT cdr3a FROM su) UNION ALL SELECT 'beta', clone_idx, cdr3b FROM db WHERE cdr3b IN (SELECT cdr3b FROM su)")
+def strict_chain_matches(spark, sf_dir):
+    """All supplier clones, both chains; some of the customers' sequences have a letter more, which no supplier has."""
+    c = clones(spark, sf_dir)
+    for column, odd in (("cdr3a", F.col("clone_idx") % 5 == 4), ("cdr3b", F.col("clone_idx") % 7 == 3)):
+        c = c.withColumn(column, F.when(odd, F.concat(F.lit("C"), column)).otherwise(F.col(column)))
+    alpha, beta = dst.strict_matches(clones(spark, sf_dir, "supplier"), c)
+    return alpha.select(F.lit("alpha").alias("chain"), "clone_idx", F.col("cdr3a").alias("cdr3")).unionByName(beta.select(F.lit("beta").alias("chain"), "clone_idx", F.col("cdr3b").alias("cdr3")))
+
+
 # ---- repertoires and diversity ------------------------------------------------------------------------
 
 
