@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of an Arrow kernel works on.
@@ -26,7 +26,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only where the session names none and runs in one process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return str(held.get()).rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="clonespark-"))
     return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
@@ -42,12 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far; results that still read them must be stored before."""
-    done = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many intermediate tables there are, as a mark for release."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the intermediate tables written since a mark, but for the last keep ones.
+
+    Results that still read them must be stored before.
+    """
+    done, stop = 0, max(since, len(_written) - keep)
+    for name in _written[since:stop]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    del _written[since:stop]
     return done
 
 
@@ -60,17 +71,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's size estimate of df (file sizes for a scan)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+def input_bytes(df: DataFrame, text: str) -> int:
+    """The planner's size estimate of df (file sizes for a scan); where it has none, text bytes by a count."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    return df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
-def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
+def partitions_for(df: DataFrame, text: str, bytes_each: int = 32 << 20) -> int:
     """Shuffle partitions that keep each near bytes_each, never under the session's number."""
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, input_bytes(df) // bytes_each + 1))
+    return max(least, min(200_000, input_bytes(df, text) // bytes_each + 1))
 
 
 def text_slices(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
@@ -129,12 +142,13 @@ def coded(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_numpy(zero_copy_only=False)
 
 
-def row_key(*columns: str) -> "F.Column":
-    """64 bits that tell rows of one id apart."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+def document_key(doc_id: str, text: str) -> Column:
+    """128 bits that tell rows apart unless both their id and their text are the same."""
+    of = (F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+    return F.struct(F.xxhash64(*of).alias("one"), F.xxhash64(F.lit(11), *of).alias("two"))
 
 
-def with_least(df: DataFrame, group: str, order: "F.Column", by: str, parts: int = 16) -> DataFrame:
+def with_least(df: DataFrame, group: str, order: Column, by: str, parts: int = 16) -> DataFrame:
     """df with the least value of order in each row's group, as least.
 
     Groups of several rows are aggregated before they meet, and their rows join the result in parts, dealt

@@ -146,9 +146,11 @@ def write_token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Returns the table of written files: file_part, file_seq (their order),
     part_before (ids of the part's files before), n_ids, n_docs and image, the
     file itself. Each document's ids end with
-    end_id. A null text is empty, a null id sorts first, equal ids sort by
-    text, so any run writes the same ids in the same order. An empty table
-    gives no file. file_bytes: text bytes that go into one file.
+    end_id. A null text is empty, a null id sorts first, rows of one id sort by
+    a hash of their text, so any run writes the same ids in the same order;
+    files are cut by these, so no id's rows need meet in one task. A text goes
+    into one file whatever its length. Other columns, whatever their names, are
+    left out. An empty table gives no file. file_bytes: text bytes of one file.
     """
     bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
@@ -167,19 +169,53 @@ def write_token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             before += len(total)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(partitions_for(rows, 16 << 20), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = rows.withColumn("of_text", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = ["doc_id", "of_text", "row"]  # rows alike in the first two are alike
+    ordered = keyed.repartitionByRange(partitions_for(rows, "text", 16 << 20), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialize(ordered.mapInArrow(write, "file_part long, file_seq long, part_before long, n_ids long, n_docs long, image binary"), "token-files")
 
 
+def part_starts(files: DataFrame) -> dict[int, int]:
+    """For each part of the files, the ids of all parts before."""
+    sizes = sorted(map(tuple, files.groupBy("file_part").agg(F.sum("n_ids")).collect()))
+    return dict(zip((p for p, _ in sizes), np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
+
+
+def read_ids(files: DataFrame, start: int, stop: int) -> DataFrame:
+    """(start, ids): the ids from place start to stop over all files, a row for each file that has some.
+
+    Only parts that reach into the range are loaded, and of their files only the
+    blocks that do are unpacked, through the index. An empty range has no rows.
+    """
+    starts = part_starts(files)
+    before = [p for p, first in starts.items() if first <= start]
+    within = [p for p, first in starts.items() if first < stop]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, in_part, n, image in zip(*(batch.column(c).to_pylist() for c in ("file_part", "part_before", "n_ids")), batch.column("image"), strict=True):
+                first = starts[part] + in_part
+                low, high = max(0, start - first), min(n, stop - first)
+                if low >= high:
+                    continue
+                words = np.frombuffer(image.as_buffer(), np.uint32)
+                size = int(words[2])
+                block = low // size
+                ids = decode_blocks(words, block, -(-high // size))[low - block * size : high - block * size]
+                yield pa.RecordBatch.from_pydict({"start": pa.array([first + low]), "ids": pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))})
+
+    wanted = files.filter(F.col("file_part").between(before[-1] if before else 0, within[-1] if within and stop > start else -1))
+    return wanted.select("file_part", "part_before", "n_ids", "image").mapInArrow(read, "start long, ids array<long>")
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
-    """What the files hold, a row for each document: doc_id, start, n_tokens, ids_crc32 and ids_bytes.
+    """What the files hold, a row for each document: doc_id, start, n_tokens, ids_crc32.
 
     start counts the ids of all documents before, over all files: the parts'
     sums, of which there are as many as partitions were written (200,000 at
     most), come to the driver and go to every task; the images stay in place.
     """
-    sizes = sorted(map(tuple, files.groupBy("file_part").agg(F.sum("n_ids")).collect()))
-    starts = dict(zip((p for p, _ in sizes), np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
+    starts = part_starts(files)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
