@@ -11,6 +11,7 @@ counted bucket by bucket, so no length's pieces meet in one task.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +24,17 @@ from clonespark.llm.common import bounded_batches, materialize, plain, regrouped
 from clonespark.llm.tokens import default_tokenizer, encoder
 
 WINDOW = 1024
+#: Text bytes that are tokenized at once.
+PIECE_BYTES = 4 << 20
+log = logging.getLogger(__name__)
 
 
 def combinations(lengths: np.ndarray, window: int, limit: int = 20_000) -> np.ndarray:
     """Rows of up to three of the lengths (0: none) that together fill the window.
 
-    All pairs; of the triples, where there are more than limit, those whose
-    smallest length is smallest or largest first, evenly over the lengths.
+    All pairs; of the triples, where there are more than limit, every so-manieth
+    in the order of their lengths. Fewer columns cost padding alone: every piece
+    finds its place, by the greedy part if by no column.
     """
     lengths = np.unique(lengths[(lengths > 0) & (lengths < window)])
     have = np.zeros(window + 1, bool)
@@ -49,7 +54,8 @@ def nnls(columns: np.ndarray, histogram: np.ndarray, steps: int = 20_000, least:
     """x >= 0 that brings sum over columns of x to the histogram, by greedy coordinate descent.
 
     Each step takes the coordinate whose exact line search lowers the squared
-    error most, and stops when no step gains. A column's entry for a length
+    error most, and stops when no step gains, or after so many steps with a
+    warning: the rest is then packed greedily. A column's entry for a length
     counts how often the length stands in it.
     """
     window = len(histogram) - 1
@@ -73,6 +79,8 @@ def nnls(columns: np.ndarray, histogram: np.ndarray, steps: int = 20_000, least:
             left[v] -= k * move[best]
             near = places[v]
             slope[near] -= (columns[near] == v).sum(axis=1) * k * move[best]
+    else:
+        log.warning("least squares over %d columns stopped after %d steps", len(columns), steps)
     return x
 
 
@@ -129,8 +137,10 @@ def piece_table(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id:
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
-        for batch in regrouped(batches, "text"):
+        from pyspark import TaskContext
+
+        own, row = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        for batch in regrouped(batches, "text", PIECE_BYTES):
             ids, offsets = own.ids(plain(batch.column("text")))
             n = np.diff(offsets)
             total = np.full(len(ids) + len(n), end_id, np.uint32)
@@ -144,19 +154,22 @@ def piece_table(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id:
             raw = memoryview(total.view(np.uint8))
             begin = (first[doc] + start).tolist()
             crc = [zlib.crc32(raw[4 * b : 4 * (b + k)]) for b, k in zip(begin, length.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(n[doc])})
+            yield pa.RecordBatch.from_pydict({"row": pa.array(row + doc), "doc_id": batch.column("doc_id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(n[doc])})
+            row += len(n)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(cut, "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, window: int = WINDOW, bucket_rows: int = 20_000) -> DataFrame:
     """Every piece of every document with its sequence_id and its offset there.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    A null or empty text is the end id alone. Rows with the same or a null
-    doc_id are packed each by itself. An empty table gives no row. The
-    histogram, at most window counts, is all that reaches the driver.
+    A null or empty text is the end id alone; a text of any length is cut into
+    whole windows and a rest. Rows with the same or a null doc_id are packed
+    each by itself, and copies of one row are dealt over all buckets. Other
+    columns, whatever their names, are left out. An empty table gives no row.
+    The histogram, at most window counts, is all that reaches the driver.
     """
     pieces = materialize(piece_table(docs, doc_id, text, tokenizer or default_tokenizer(), end_id, window), "pieces")
     histogram = np.zeros(window + 1, np.int64)
@@ -165,10 +178,10 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slots = places(plan(histogram, window))
     buckets = max(16, int(histogram.sum()) // bucket_rows)
 
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "start"), F.lit(buckets)))
     sums = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = keyed.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(sums), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    own = Window.partitionBy("length", "bucket").orderBy("row", "start")
     ranked = keyed.withColumn("own", F.row_number().over(own) - 1).join(bases, ["length", "bucket"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
