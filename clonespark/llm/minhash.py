@@ -1,6 +1,7 @@
 """Near-duplicate documents by circulant MinHash.
 
-A document's set is its distinct word shingles, hashed to 64 bits. Two
+A document's set is its distinct word shingles, told apart by 64-bit hashes: of
+two texts some 1e-19 of the shingles they don't share are taken for shared. Two
 permutations of the 32-bit numbers make all signature coordinates: the first
 scatters the shingles, coordinate k shifts its result round by k, and the second
 is applied before taking the minimum. Bands of coordinates give candidates.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import bounded_batches, coded, materialize, regrouped, with_least, words_of
+from clonespark.llm.common import bounded_batches, coded, document_key, materialize, regrouped, with_least, words_of
 from clonespark.llm.components import connected_components
 
 #: 24 bands of 5: a pair at a Jaccard similarity of 0.8 is missed with a chance of 7e-5.
@@ -95,11 +96,6 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-def document_key(doc_id: str, text: str) -> "F.Column":
-    """Tells rows apart unless both their id and their text are the same."""
-    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
-
-
 def sketch(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
     """(row, key, doc_id, n_shingles, print, bands): print tells sets apart, null for an empty one, which has no bands."""
     bounded_batches(docs.sparkSession)
@@ -122,11 +118,11 @@ def sketch(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
             row += len(n)
 
     rows_of = docs.select(document_key(doc_id, text).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows_of.mapInArrow(make, "row long, key long, doc_id long, n_shingles long, print string, bands array<long>")
+    return rows_of.mapInArrow(make, "row long, key struct<one: bigint, two: bigint>, doc_id long, n_shingles long, print string, bands array<long>")
 
 
 def full_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """Of docs with their key as id: (id, shingles), the full set."""
+    """Of docs(id, text): (id, shingles), the full set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in regrouped(batches, "text"):
@@ -210,7 +206,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row for each row of docs: row, key, doc_id, n_shingles, component_id, kept, first.
 
     Documents link if their sets' Jaccard similarity reaches percent; a
-    component takes its smallest doc_id. A null text or one without words has
+    component takes its smallest doc_id. Whole texts count, however long; other
+    columns, whatever their names, are left out. A null text or one without words has
     an empty set and links with nothing; one of fewer words than a shingle is
     one shingle. kept holds where doc_id is the component's; rows of one id
     and text share it, and first is true for just one row of a component. A
@@ -218,14 +215,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     held = materialize(sketch(docs, doc_id, text, shingle, bands, rows), "sketch")
     full = held.filter("print is not null")
-    # Copies: one class for each set, told by one of its keys.
-    classes = materialize(full.groupBy("print").agg(F.min("key").alias("id"), F.min_by("bands", "key").alias("bands"), F.first("n_shingles").alias("n")), "classes")
+    # Copies: one class for each set, told by one of its rows.
+    classes = full.groupBy("print").agg(F.min("row").alias("id"), F.min_by("key", "row").alias("key"), F.min_by("bands", "row").alias("bands"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    classes = materialize(classes, "classes")
     member = materialize(classes.select("id", "n", F.explode("bands").alias("bucket")), "bands")
     shared = member.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b < top").select("bucket", "b")
     shared = materialize(member.join(shared, "bucket"), "buckets")
-    wanted = shared.select("id").distinct()
-    keyed = docs.withColumn("id", document_key(doc_id, text)).select("id", text)
-    sets = materialize(full_sets(keyed.join(wanted, "id", "left_semi"), text, shingle).dropDuplicates(["id"]), "sets")
+    wanted = classes.select("id", "key").join(shared.select("id").distinct(), "id")
+    keyed = docs.select(document_key(doc_id, text).alias("key"), F.col(text).alias("text"))
+    sets = materialize(full_sets(keyed.join(wanted, "key").select("id", "text"), "text", shingle).dropDuplicates(["id"]), "sets")
     firsts = shared.filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     star = materialize(confirmed(firsts, sets, percent), "stars")
     reached = materialize(connected_components(star), "reached")
@@ -233,11 +231,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     split = materialize(split_buckets(placed), "split")
     late = materialize(late_links(placed.join(split, "bucket").join(sets, "id").select("bucket", "blocks", "id", "component", "shingles"), percent), "late")
     found = connected_components(star.union(late)).withColumnRenamed("id", "class")
-    of_class = classes.select("print", F.col("id").alias("class")).join(found, "class", "left").select("print", F.coalesce("component", "class").alias("component"))
-    # An empty set is a component of its own, told by its row, which is no key's print.
-    grouped = materialize(held.drop("bands").join(of_class, "print", "left"), "grouped")
-    linked = grouped.filter("component is not null")
+    found = materialize(found, "found")
+    # A class of one row is found by that row, a larger one by its print, by many tasks where it has many rows.
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(15)))
+    several = classes.filter("rows > 1").select("print", F.col("id").alias("class")).join(found, "class", "left").select("print", F.coalesce("component", "class").alias("of_print")).withColumn("part", dealt)
+    placed = full.select("row", "key", "doc_id", "n_shingles", "print", F.pmod(F.xxhash64("row"), F.lit(16)).cast("int").alias("part"))
+    linked = placed.join(several, ["print", "part"], "left").join(found.withColumnRenamed("class", "row"), "row", "left")
+    linked = materialize(linked.select("row", "key", "doc_id", "n_shingles", F.coalesce("of_print", "component", "row").alias("component")), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     linked = with_least(linked, "component", order, "row").select("row", "key", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("first"))
-    alone = grouped.filter("component is null").select("row", "key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    # An empty set is a component of its own.
+    alone = held.filter("print is null").select("row", "key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return linked.union(alone).select("row", "key", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first")

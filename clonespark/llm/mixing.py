@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import materialize
+from clonespark.llm.common import document_key, materialize
 
 BLOCK_TOKENS = 256
 CHUNK = 1 << 16
+#: Copies of one row that one task writes out.
+COPIES = 1 << 10
 #: The golden ratio's fraction in 64 bits.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,7 +47,7 @@ def share_out(sizes: list[int], weights: list[float], most: float) -> list[float
 
 def source_plan(documents: DataFrame, weights: tuple[float, ...], most: float, block: int) -> list[dict]:
     """A row for each source: its size, target, whole tokens to take, blocks and slots. Sources are few."""
-    rows = [(r["source"], r["size"]) for r in documents.groupBy("source").agg(F.sum("size").alias("size")).collect()]
+    rows = [(r["source"], r["size"]) for r in documents.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).collect()]
     rows.sort(key=lambda r: (r[0] is None, [ord(c) for c in r[0] or ""]))
     sizes = [n for _, n in rows]
     targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(rows))], most)
@@ -106,15 +108,18 @@ def schedule(spark, plan: list[dict]) -> DataFrame:
     return ranked.unionByName(more.select((F.lit(total) + F.col("rank")).alias("slot"), "s", "rank"))
 
 
-def row_key(doc_id: str, text: str) -> "F.Column":
-    """Tells rows apart unless both their id and their text are the same, and shuffles them."""
-    return F.xxhash64(F.lit(11), F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
-
-
 def measured(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """(row, doc_id, source, size, key): row tells any two rows apart."""
+    """(doc_id, source, size, key, n): rows alike in all of these count as one with n copies, which stand for each other."""
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words.alias("size"), row_key(doc_id, text).alias("key"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words.alias("size"), document_key(doc_id, text).alias("key"))
+    return rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n"))
+
+
+def copies(classes: DataFrame) -> DataFrame:
+    """classes with a row for each of their n copies, numbered from 0 as copy; many copies are dealt over tasks."""
+    parts = classes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    dealt = parts.repartition("key", "part")
+    return dealt.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1))).drop("part", "n")
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3, block: int = BLOCK_TOKENS, bucket_rows: int = 2_000) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -123,22 +128,28 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     documents: row, key, doc_id, source, size (words), s, position (its place on its
     source's line); pieces: slot, s, row, first, last: the words of a document
     that a slot takes; plan: s, source, source_size, target, take. A null text
-    has no words and is in no piece; sources go by code point, a null one last,
-    with weights repeating. Rows of one id are documents of their own. The same
-    rows give the same mix whatever their order. Empty tables give no rows.
+    has no words and is in no piece, a text of any length lies in as many
+    blocks as it takes; sources go by code point, a null one last, with weights
+    repeating. Rows of one id are documents of their own, and copies of one row
+    are laid out by as many tasks as it takes. The same rows give the same mix
+    whatever their order. Other columns, whatever their names, are left out.
+    Empty tables give no rows. A row for each source, not for each document,
+    comes to the driver.
     """
     spark = docs.sparkSession
     held = materialize(measured(docs, doc_id, text, source), "sizes")
     rows = source_plan(held, weights, most, block)
     plan = spark.createDataFrame([tuple(r[c] for c in ("s", "source", "source_size", "target", "take", "blocks", "rounds", "rest")) for r in rows], "s int, source string, source_size long, target double, take long, blocks long, rounds long, rest long")
-    buckets = max(128, held.count() // bucket_rows)
+    buckets = max(128, (held.agg(F.sum("n")).first()[0] or 0) // bucket_rows)
     known = held.join(plan.select("s", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    placed = known.filter("size > 0").withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    placed = known.filter("size > 0").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     sums = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy("s", "bucket").agg(F.sum("size").alias("n")).select("s", "bucket", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("before"))
-    own = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = placed.withColumn("upto", F.sum("size").over(own)).join(before, ["s", "bucket"]).select("row", "key", "doc_id", "source", "size", "s", (F.col("before") + F.col("upto") - F.col("size")).alias("position"))
-    line = materialize(line.unionByName(known.filter("size = 0").select("row", "key", "doc_id", "source", "size", "s", F.lit(None).cast("long").alias("position"))), "line")
+    before = placed.groupBy("s", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("words")).select("s", "bucket", F.coalesce(F.sum("words").over(sums), F.lit(0)).alias("before"))
+    own = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = F.col("size") * F.col("n")
+    line = placed.withColumn("upto", F.sum(words).over(own)).join(before, ["s", "bucket"]).select("key", "doc_id", "source", "size", "s", "n", (F.col("before") + F.col("upto") - words).alias("first"))
+    line = copies(line.unionByName(known.filter("size = 0").select("key", "doc_id", "source", "size", "s", "n", F.lit(None).cast("long").alias("first"))))
+    line = materialize(line.select(F.monotonically_increasing_id().alias("row"), "key", "doc_id", "source", "size", "s", (F.col("first") + F.col("copy") * F.col("size")).alias("position")), "line")
     # A document lies in one block or in several.
     lies = line.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("position") / block), F.floor((F.col("position") + F.col("size") - 1) / block))))
     lies = lies.select("s", "block", "row", "position", F.greatest("position", F.col("block") * block).alias("a"), F.least(F.col("position") + F.col("size"), (F.col("block") + 1) * block).alias("b"))
