@@ -27,10 +27,10 @@ _STEP = 2 << 20
 @cache
 def _characters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and the lower case of letters, else a space."""
-    text = [chr(c) for c in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in text), bool, len(text))
-    lower = np.full(len(text), 32, np.uint32)
-    lower[letter] = [ord(s) if len(s := text[c].lower()) == 1 else c for c in np.flatnonzero(letter)]
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    lower = np.full(len(letter), 32, np.uint32)
+    places = np.flatnonzero(letter)
+    lower[places] = np.fromiter((ord(s) if len(s := chr(c).lower()) == 1 else c for c in places.tolist()), np.uint32, len(places))
     return letter, lower
 
 

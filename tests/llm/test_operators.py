@@ -64,14 +64,41 @@ def test_token_files(spark, tokenizer):
     files = pfor.write_token_files(docs_of(spark), file_bytes=50_000)
     got = sorted(map(tuple, pfor.read_token_files(files).collect()), key=lambda r: r[1])
     start, want = 0, []
-    for d, t, *_ in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+    hashes = {r.t: r.h for r in docs_of(spark).select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for d, t, *_ in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""])):
         ids = [*ids_of(tokenizer, t), 2]
         want.append((d, start, len(ids), crc(ids)))
         start += len(ids)
     assert got == want
+    everything = [i for d, t, *_ in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""])) for i in [*ids_of(tokenizer, t), 2]]
+    for a, b in ((0, len(everything)), (5, 6), (700, 12_345), (start - 3, start + 10), (9, 9), (start, start + 1)):
+        parts = sorted(pfor.read_ids(files, a, b).collect())
+        assert [i for r in parts for i in r.ids] == everything[a:b] and all(r.start >= a for r in parts)
+    assert pfor.read_ids(pfor.write_token_files(docs_of(spark, [])), 0, 5).count() == 0
     assert pfor.read_token_files(pfor.write_token_files(docs_of(spark, []))).count() == 0
 
 
+def test_copies_of_one_row_are_dealt_over_tasks(spark):
+    """A third of all rows is one row; no partition of files, no bucket and no part of the mix holds them all."""
+    rows = [(7, "the same text again and again", "en", "a")] * 4000 + [(k, f"text number {k}", "en", "b") for k in range(8000)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    files = pfor.write_token_files(table)
+    docs = [r.n for r in files.groupBy("file_part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(docs) == len(rows) and max(docs) < 4000
+    packed = packing.pack_documents(table, bucket_rows=500)
+    assert packed.count() == len(rows) and packed.groupBy("sequence_id", "offset").count().filter("count > 1").count() == 0
+    taken = mixing.taken_words(*mixing.mix_sources(table)).collect()
+    assert len(taken) == len(rows) and sum(r.taken for r in taken if r.doc_id == 7) >= 4000
+    classes = mixing.measured(table, "doc_id", "text", "source")
+    assert classes.filter("n > 1").count() == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    dealt = mixing.copies(classes.filter("n > 1")).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(dealt) > 1 and sum(r["count"] for r in dealt) == 4000
+    found = minhash.near_duplicates(table.filter("source = 'a' or doc_id < 50"))
+    assert found.count() == 4050 and found.filter("kept").select("doc_id").distinct().count() == 50
+
+
 def test_packing(spark, tokenizer):
     rows = packing.pack_documents(docs_of(spark)).collect()
     pieces = Counter()
@@ -178,20 +205,21 @@ def test_language(spark):
     assert language.identify(docs, cut).filter("lang = lang_pred").count() >= 0.9 * docs.count()
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(8)
     scale = np.concatenate([[3.0, 2.0], np.full(10, 0.02)])
     rows = [(i, [float(x) for x in rng.normal(size=12) * (scale if i < 200 else 0.2)]) for i in range(500)]
-    rows += [(600, None), (601, [float("inf")] * 12), (602, [None] * 12), (620, [0.0] * 12), (40, rows[3][1]), (None, rows[0][1]), (604, [1.0, 2.0])]
+    rows += [(600, None), (601, [float("inf")] * 12), (602, [None] * 12), (620, [0.0] * 12), (40, rows[3][1]), (None, rows[0][1]), (604, [1.0, 2.0]), (7, rows[7][1]), (7, rows[7][1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(3)
-    got = sorted(map(tuple, topk.exact_top_k(table, "vec_id % 20 = 0", k=7).collect()))
-    usable = [(i, np.pad(np.floor(64 * np.array(e)), (0, 12 - len(e))).astype(int)) for i, e in rows if i is not None and e and all(x is not None for x in e) and np.isfinite(e).all()]
-    want = []
-    for i, q in usable:
-        if i % 20 == 0:
-            best = sorted((-int(q @ v), j) for j, v in usable if j != i)[:7]
-            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
-    assert got == sorted(want)
+    usable = [(i, np.pad(np.floor(64 * np.array(e)), (0, 12 - len(e))).astype(int)) for i, e in rows if e and all(x is not None for x in e) and np.isfinite(e).all()]
+    want = Counter()
+    for n, (i, q) in enumerate(usable):
+        if i is not None and i % 20 == 0:
+            best = sorted((-int(q @ v), j is None, j or 0) for m, (j, v) in enumerate(usable) if m != n)[:7]
+            want.update((i, r, None if none else j, -s) for r, (s, none, j) in enumerate(best, 1))
+    for rows_a_block in (topk.ROWS, 60):
+        monkeypatch.setattr(topk, "ROWS", rows_a_block)
+        assert Counter(map(tuple, topk.exact_top_k(table, "vec_id % 20 = 0", k=7).collect())) == want
     assert topk.exact_top_k(table.limit(0), "vec_id % 20 = 0").count() == 0
 
 
@@ -199,12 +227,21 @@ def test_threshold_search_stops_early_and_reads_on():
     rng = np.random.default_rng(9)
     few = np.zeros((5000, 6), np.int64)
     few[:, 0], few[:, 1] = rng.integers(-1000, 1000, 5000), rng.integers(-3, 3, 5000)
-    for c in (few, rng.integers(-30, 30, (5000, 6)), np.full((50, 2), 1 << 40)):
-        ids, q = np.arange(len(c)), c[:20]
-        row, at, score = topk.threshold_search(c, ids, q, ids[:20], 10)
+    zero = np.zeros((300, 4), np.int64)
+    for c, share in ((few, 0.4), (rng.integers(-30, 30, (5000, 6)), 0.8), (np.full((50, 2), 1 << 40), 1), (zero, 0.2), (np.abs(few), 0.1)):
+        lists = topk.Lists(c, int(np.abs(c).max()))
+        scored = []
         for r in range(20):
-            own = sorted((-sum(int(x) * int(y) for x, y in zip(q[r], v, strict=True)), i) for i, v in enumerate(c) if i != r)[:10]
-            assert [(-int(s), int(a)) for a, s in zip(at[row == r], score[row == r], strict=True)] == own
+            at, score, n = lists.search(c[r], r, 10)
+            own = sorted((-sum(int(x) * int(y) for x, y in zip(c[r], v, strict=True)), i) for i, v in enumerate(c) if i != r)[:10]
+            assert [(-int(s), int(a)) for a, s in zip(at, score, strict=True)] == own
+            scored.append(n)
+            # A floor from elsewhere loses nothing that reaches it, and reads no more.
+            floor = -own[4][0]
+            at, score, less = lists.search(c[r], r, 10, floor)
+            assert less <= n and {(-int(s), int(a)) for a, s in zip(at, score, strict=True)} >= {x for x in own if -x[0] >= floor}
+        assert np.mean(scored) <= share * len(c)
+    assert topk.Lists(few, 1000).search(few[0], -1, 3, 10**9)[2] == 0  # the heads of the lists are below the floor
 
 
 def shingles(text):
@@ -329,4 +366,7 @@ def test_intermediate_tables_can_be_released(spark):
     from clonespark.llm import common
 
     kept = common.materialize(spark.range(3), "probe")
-    assert kept.count() == 3 and common.release(spark) >= 1 and common.release(spark) == 0
+    mark = common.written()
+    more = [common.materialize(spark.range(n), "probe") for n in (1, 2)]
+    assert common.release(spark, mark, keep=1) == 1 and more[1].count() == 2 and kept.count() == 3
+    assert common.release(spark) >= 2 and common.release(spark) == 0

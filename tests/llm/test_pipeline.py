@@ -4,7 +4,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import SCHEMA, TEXTS, brute_duplicates
+from clonespark.llm import mixing
+from tests.llm.test_operators import SCHEMA, TEXTS, WORD, brute_duplicates
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -19,7 +20,16 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == want
     mixed = pipeline.mixing_stage(spark, kept, sf).cache()
     assert mixed.columns == docs.columns and 0 < mixed.count()
-    assert max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
+    taken = mixing.taken_words(*mixing.mix_sources(kept)).collect()
+    rows = mixed.select("doc_id", "text", "n_chars").collect()
+    size = lambda t: len(WORD.findall(t))
+    assert all(r.n_chars == len(r.text) for r in rows)
+    got = Counter()
+    for r in rows:
+        got[r.doc_id] += size(r.text)
+    assert got == Counter({r.doc_id: r.taken for r in taken if r.taken})
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    assert all(texts[r.doc_id].startswith(r.text) for r in rows)
     packed = pipeline.packing_stage(spark, mixed, sf)
     tokens = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert tokens.filter("n > 1024 or n <> end").count() == 0
