@@ -2,8 +2,9 @@
 
 Results are edge lists (i, j, dist), never matrices. Both sides are dealt out in
 blocks by the lengths of their active CDR3s, and a block meets only blocks whose
-lengths allow the threshold: a difference of one letter costs a gap. Inside a
-task the V-region distances prune first, then one chain after the other, all in
+lengths allow the threshold: a difference of one letter costs a gap. A task gets
+one block of each side, of a bounded number of rows, and of one table two blocks
+meet once. Inside a task the V-region distances prune first, then one chain after the other, all in
 numpy over whole blocks; only pairs within the threshold leave it.
 """
 
@@ -24,6 +25,8 @@ from clonespark.operators.genes import v_matrix
 from clonespark.plans.schema import active_for, require_columns
 
 BLOCK = 1024
+#: Rows of a block that is dealt to tasks; they are compared BLOCK by 4 BLOCK at a time.
+DEALT = 8192
 LONGEST = 64
 
 
@@ -45,11 +48,13 @@ class DistanceSpec:
 
     @staticmethod
     def of(df: DataFrame, components="all", v_distances: DataFrame | None = None, organism: str | None = None, weight: int = WEIGHT_CDR3, gap: int = GAP_CDR3) -> DistanceSpec:
-        """Components that df can be compared by; V components need a table of V distances."""
+        """Components that df can be compared by. V components without a table of V distances are an error:
+        who wants CDR3s alone names them."""
         active = active_for(df, components)
-        genes = [(c, v_matrix(v_distances, organism, chain)) for c, chain in (("va", "A"), ("vb", "B")) if c in active and v_distances is not None]
-        if v_distances is None:
-            active = tuple(c for c in active if c.startswith("cdr3"))
+        of_v = [c for c in active if not c.startswith("cdr3")]
+        if of_v and v_distances is None:
+            raise ValueError(f"{of_v} need V distances; for CDR3s alone name the components 'cdr3'")
+        genes = [(c, v_matrix(v_distances, organism, chain)) for c, chain in (("va", "A"), ("vb", "B")) if c in of_v]
         return DistanceSpec(active, int(weight), int(gap), tuple(genes))
 
     def places(self, table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -90,42 +95,78 @@ def _classes(spec: DistanceSpec) -> list[Column]:
     return [lengths[0].cast("int").alias("la"), lengths[1].cast("int").alias("lb")]
 
 
+def _boxes(rows: DataFrame, least: int, most: int) -> list[dict]:
+    """Length classes, in order, gathered into groups of at least `least` rows where that takes several; each
+    group with its classes, its box of lengths and its number of blocks of at most about `most` rows."""
+    boxes: list[dict] = []
+    for la, lb, n in sorted(map(tuple, rows.groupBy("la", "lb").count().collect())):  # at most 65 x 65 rows
+        if not boxes or boxes[-1]["n"] >= least or boxes[-1]["a"][1] < la - 1:
+            boxes.append({"n": 0, "classes": [], "a": (la, la), "b": (lb, lb)})
+        box = boxes[-1]
+        box["n"] += n
+        box["classes"].append((la, lb))
+        box["a"], box["b"] = (box["a"][0], la), (min(box["b"][0], lb), max(box["b"][1], lb))
+    for box in boxes:
+        box["blocks"] = -(-box["n"] // most)
+    return boxes
+
+
 def range_pairs(left: DataFrame, right: DataFrame, threshold: float, spec: DistanceSpec, left_idx: str = "clone_idx", right_idx: str = "clone_idx", same: bool = False, groups: tuple[str, ...] = ()) -> DataFrame:
     """(i, j, dist) of all pairs with dist <= threshold; same: both sides are one table, i < j only.
 
-    groups: columns of both in each of which a pair must differ. Lengths over
-    64 count as 64 in the dealing alone.
+    groups: columns of both in each of which a pair must differ. Lengths over 64 count as 64 in the
+    dealing alone. Both sides go in blocks of at most DEALT rows, so a task holds two blocks however
+    large the tables are; of one table each two blocks meet once.
     """
     if threshold < 0:
         raise ValueError("the threshold is negative")
+    spark = left.sparkSession
     one = _prepared(left, left_idx, spec, groups).select("*", *_classes(spec))
     two = _prepared(right, right_idx, spec, groups).select("*", *_classes(spec))
     reach = LONGEST if math.isinf(threshold) or not spec.gap else min(LONGEST, int(threshold // spec.gap))
-    sizes = one.groupBy("la", "lb").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = one.join(F.broadcast(sizes), ["la", "lb"]).withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).drop("blocks")  # at most 65 x 65 rows
-    both = F.sequence(F.lit(-reach), F.lit(reach))
-    span = {"la": both if "cdr3a" in spec.active else F.array(F.lit(0)), "lb": both if "cdr3b" in spec.active else F.array(F.lit(0))}
-    meets = two.withColumn("da", F.explode(span["la"])).withColumn("db", F.explode(span["lb"])).filter(F.col("da").between(-reach, reach) & (F.abs("da") + F.abs("db") <= reach if reach < LONGEST else F.lit(True)))
-    meets = meets.withColumn("la", F.col("la") + F.col("da")).withColumn("lb", F.col("lb") + F.col("db")).drop("da", "db")
-    meets = meets.join(F.broadcast(sizes), ["la", "lb"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    keys = ["la", "lb", "block"]
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+    sizes = one.groupBy("la", "lb").count().agg(F.sum("count")).first()[0] or 0
+    most = min(DEALT, max(BLOCK // 4, sizes // 8))
+    p_boxes = _boxes(one, most // 2, most)
+    q_boxes = p_boxes if same else _boxes(two, most // 2, most)
+    apart = lambda x, y: max(0, x[0] - y[1], y[0] - x[1])
+    meets = [(p, q, x["blocks"], y["blocks"]) for p, x in enumerate(p_boxes) for q, y in enumerate(q_boxes) if (p <= q or not same) and (reach == LONGEST or apart(x["a"], y["a"]) + apart(x["b"], y["b"]) <= reach)]
+    keys = ["p", "pb", "q", "qb"]
+    columns = ["i", *spec.active, *groups]
+
+    def placed(rows: DataFrame, boxes: list[dict], box: str, block: str) -> DataFrame:
+        known = spark.createDataFrame([(*c, k, x["blocks"]) for k, x in enumerate(boxes) for c in x["classes"]], f"la int, lb int, {box} int, n int")
+        own = F.pmod(F.xxhash64("i"), F.col("n")).cast("int").alias(block)
+        return rows.join(F.broadcast(known), ["la", "lb"]).select(*columns, box, own)  # at most 65 x 65 rows
+
+    # At most as many rows as pairs of boxes; whether it is broadcast is left to the planner, by size.
+    pairs = spark.createDataFrame(meets, "p int, q int, np int, nq int")
+    from_p = placed(one, p_boxes, "p", "pb").join(pairs.select("p", "q", "nq"), "p")
+    first = F.when(F.col("p") == F.col("q"), F.col("pb")).otherwise(0) if same else F.lit(0)
+    from_p = from_p.select(*columns, "p", "pb", "q", F.explode(F.sequence(first, F.col("nq") - 1)).alias("qb"))
+    from_q = placed(two, q_boxes, "q", "qb").join(pairs.select("p", "q", "np"), "q")
+    last = F.when(F.col("p") == F.col("q"), F.col("qb")).otherwise(F.col("np") - 1) if same else F.col("np") - 1
+    from_q = from_q.select(*columns, "p", F.explode(F.sequence(F.lit(0), last)).alias("pb"), "q", "qb")
+
+    def compare(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[], [], []]
-        i = a.column("i").to_numpy()
-        for at in range(0, b.num_rows if a.num_rows else 0, 4 * BLOCK):
-            part = b.slice(at, 4 * BLOCK)
-            j = part.column("i").to_numpy()
-            mask = i[:, None] < j[None, :] if same else np.ones((len(i), len(j)), bool)
-            for g in groups:
-                mask &= np.array(a.column(g).to_pylist(), object)[:, None] != np.array(part.column(g).to_pylist(), object)[None, :]
-            dist, within = spec.block(a, part, threshold, mask)
-            p, q = np.nonzero(within)
-            for out, values in zip(found, (i[p], j[q], dist[p, q]), strict=True):
-                out.append(values)
-        return pa.table({"i": pa.array(np.concatenate(found[0]) if found[0] else [], pa.int64()), "j": pa.array(np.concatenate(found[1]) if found[1] else [], pa.int64()), "dist": pa.array(np.concatenate(found[2]) if found[2] else [], pa.float64())})
-
-    return own.groupBy(*keys).cogroup(meets.groupBy(*keys)).applyInArrow(lambda a, b: compare(a, b), "i long, j long, dist double")
+        one_block = same and key[0] == key[2] and key[1] == key[3]
+        for x in range(0, a.num_rows if b.num_rows else 0, BLOCK):
+            own = a.slice(x, BLOCK)
+            i = own.column("i").to_numpy()
+            for at in range(0, b.num_rows, 4 * BLOCK):
+                part = b.slice(at, 4 * BLOCK)
+                j = part.column("i").to_numpy()
+                mask = i[:, None] < j[None, :] if one_block else np.ones((len(i), len(j)), bool)
+                for g in groups:
+                    mask &= np.array(own.column(g).to_pylist(), object)[:, None] != np.array(part.column(g).to_pylist(), object)[None, :]
+                dist, within = spec.block(own, part, threshold, mask)
+                r, c = np.nonzero(within)
+                low, high = (np.minimum(i[r], j[c]), np.maximum(i[r], j[c])) if same else (i[r], j[c])
+                for out, values in zip(found, (low, high, dist[r, c]), strict=True):
+                    out.append(values)
+        return pa.table({n: pa.array(np.concatenate(x) if x else [], t) for n, x, t in zip(("i", "j", "dist"), found, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    return from_p.groupBy(*keys).cogroup(from_q.groupBy(*keys)).applyInArrow(compare, "i long, j long, dist double")
 
 
 def mirrored(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clonespark.functions.stats import normal_quantile
 from clonespark.operators.distance import DistanceSpec, range_pairs
+from clonespark.plans.schema import running
 
 
 def _positive(df: DataFrame, count: str, by: list[str]) -> DataFrame:
@@ -99,11 +100,14 @@ def fuzzy_diversity(clones: DataFrame, threshold: float = 50, order: int = 2, co
         pairs = close.join(weights, "i").join(weights.select(F.col("i").alias("j"), F.col("c").alias("d")), "j").agg(F.coalesce(F.sum(F.col("c") * F.col("d")), F.lit(0.0)).alias("x"))
         return own.crossJoin(pairs).crossJoin(plain).select((1 - (F.col("s") + 2 * F.col("x")) / (F.col("n") * F.col("n"))).alias("fuzzy_entropy"), "standard_entropy")
     spark = clones.sparkSession
-    sums = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = weights.withColumn("high", F.sum("c").over(sums)).withColumn("low", F.col("high") - F.col("c"))
-    total = weights.agg(F.sum("c").alias("n")).first()["n"] or 0.0
+    found = weights.agg(F.sum("c").alias("n"), F.count("*").alias("rows")).first()
+    total = found["n"] or 0.0
+    # Draws meet clones at an equality: the line of all counts is cut into about as many pieces as there are clones.
+    piece = (total / max(1, found["rows"])) or 1.0
+    at = lambda c: F.floor(F.col(c) / piece).cast("long")
+    placed = running(weights.filter("c > 0"), "i", "high", "c").withColumn("low", F.col("high") - F.col("c")).withColumn("piece", F.explode(F.sequence(at("low"), at("high"))))
     picks = spark.range(draws).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(order)))).withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.lit(1 << 50)) / float(1 << 50) * total)
-    drawn = picks.join(placed, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("id", "k", "i")
+    drawn = picks.withColumn("piece", at("u")).join(placed, "piece").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("id", "k", "i")
     other = drawn.select("id", F.col("k").alias("m"), F.col("i").alias("j"))
     pairs = drawn.join(other, "id").filter("k < m").select("id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     near = pairs.join(close.withColumn("near", F.lit(True)), ["i", "j"], "left").withColumn("near", F.col("near").isNotNull() | (F.col("i") == F.col("j")))

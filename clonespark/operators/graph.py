@@ -9,12 +9,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonespark.plans.schema import with_index
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A copy in the checkpoint folder, which executors share."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="clonespark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="clonespark-"))
     return df.checkpoint()
 
 
@@ -37,9 +42,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, idx: str = "i")
 
 def by_size(components: DataFrame) -> DataFrame:
     """(i, cluster): components numbered from 1 by decreasing size, ties by their smallest vertex."""
-    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "component"))
-    return components.join(sizes.withColumn("cluster", rank).select("component", "cluster"), "component").select("i", "cluster")
+    sizes = components.groupBy("component").agg((-F.count("*")).alias("order"))
+    ranked = with_index(sizes, ["order", "component"], "cluster", 1).select("component", F.col("cluster").cast("int").alias("cluster"))
+    return components.join(ranked, "component").select("i", "cluster")
 
 
 def k_core(vertices: DataFrame, edges: DataFrame, least: int) -> DataFrame:
@@ -235,40 +240,94 @@ def k_medoids(d: np.ndarray, k: int) -> np.ndarray:
     return d[:, medoids].argmin(axis=1) + 1
 
 
+def _refined(w: np.ndarray, label: np.ndarray, resolution: float) -> np.ndarray:
+    """A partition within the clusters of label: vertices start alone and join, in turn, the part of their
+    cluster that raises modularity most, if they are linked to it; so every part hangs together."""
+    degree, total = w.sum(axis=1), w.sum()
+    part, strength, size = np.arange(len(w)), degree.copy(), np.ones(len(w), int)
+    for v in range(len(w)):
+        if size[part[v]] > 1:
+            continue
+        links = np.bincount(part, np.where(label == label[v], w[v], 0), len(w))
+        links[part[v]] = 0
+        gain = np.where(links > 0, links - resolution * degree[v] * strength / total, -np.inf)
+        best = int(gain.argmax())
+        if gain[best] > 1e-12:
+            strength[part[v]] -= degree[v]
+            size[part[v]] -= 1
+            part[v] = best
+            strength[best] += degree[v]
+            size[best] += 1
+    return np.unique(part, return_inverse=True)[1]
+
+
+def _by_first(member: np.ndarray) -> np.ndarray:
+    """Labels renumbered from 0 by first appearance."""
+    _, first, inverse = np.unique(member, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), int)
+    rank[np.argsort(first)] = np.arange(len(first))
+    return rank[inverse]
+
+
+def leiden(weights: np.ndarray, resolution: float = 1.0, rounds: int = 20) -> np.ndarray:
+    """Clusters from 0 of a symmetric weight matrix: local moves, then each cluster is refined into parts that
+    hang together, and the parts, placed as their clusters were, are the vertices of the next round."""
+    w = weights.astype(float).copy()
+    member, label = np.arange(len(w)), np.arange(len(w))
+    for _ in range(rounds):
+        if not len(w) or w.sum() <= 0:
+            break
+        label, _ = _moved(w, label, resolution)
+        if len(np.unique(label)) == len(w):
+            break
+        part = _refined(w, label, resolution)
+        one = np.eye(part.max() + 1)[part]
+        w, label = one.T @ w @ one, np.array([label[part == p][0] for p in range(part.max() + 1)])
+        label = np.unique(label, return_inverse=True)[1]
+        member = part[member]
+        if part.max() + 1 == len(part):  # nothing was joined: clusters stay as they are
+            break
+    return _by_first(label[member]) if len(member) else member
+
+
+def _moved(w: np.ndarray, label: np.ndarray, resolution: float) -> tuple[np.ndarray, bool]:
+    """Labels after moving vertices, in turn, to the neighbouring cluster that raises modularity most."""
+    n, total, degree = len(w), w.sum(), w.sum(axis=1)
+    label, moved = label.copy(), False
+    strength = np.bincount(label, degree, n)
+    for _ in range(100):
+        changed = False
+        for v in range(n):
+            own = label[v]
+            strength[own] -= degree[v]
+            links = np.bincount(label, w[v], n)
+            links[own] -= w[v, v]
+            gain = links - resolution * degree[v] * strength / total
+            best = int(gain.argmax())
+            best = best if gain[best] > gain[own] + 1e-12 else own
+            strength[best] += degree[v]
+            label[v] = best
+            changed |= best != own
+        moved |= changed
+        if not changed:
+            break
+    return label, moved
+
+
 def louvain(weights: np.ndarray, resolution: float = 1.0) -> np.ndarray:
     """Clusters from 0 of a symmetric weight matrix, by local moves and aggregation of modularity."""
     w, member = weights.astype(float).copy(), np.arange(len(weights))
     while True:
-        n, total, degree = len(w), w.sum(), w.sum(axis=1)
-        label, strength, moved = np.arange(n), degree.copy(), False
-        if total <= 0:
+        if not len(w) or w.sum() <= 0:
             break
-        for _ in range(100):
-            changed = False
-            for v in range(n):
-                own = label[v]
-                strength[own] -= degree[v]
-                links = np.bincount(label, w[v], n)
-                links[own] -= w[v, v]
-                gain = links - resolution * degree[v] * strength / total
-                best = int(gain.argmax())
-                best = best if gain[best] > gain[own] + 1e-12 else own
-                strength[best] += degree[v]
-                label[v] = best
-                changed |= best != own
-            moved |= changed
-            if not changed:
-                break
+        label, moved = _moved(w, np.arange(len(w)), resolution)
         _, label = np.unique(label, return_inverse=True)
         member = label[member]
         if not moved:
             break
         one = np.eye(label.max() + 1)[label]
         w = one.T @ w @ one
-    _, first, inverse = np.unique(member, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), int)
-    rank[np.argsort(first)] = np.arange(len(first))
-    return rank[inverse]
+    return _by_first(member)
 
 
 def cluster_clones(edges: DataFrame, n: int, method: str = "hierarchical", k: int | None = None, h: float | None = None, linkage: str = "average", eps: float | None = None, min_points: int = 5, n_neighbors: int = 10, resolution: float = 1.0) -> DataFrame:
@@ -290,7 +349,7 @@ def cluster_clones(edges: DataFrame, n: int, method: str = "hierarchical", k: in
     elif method in ("louvain", "leiden"):
         from clonespark.operators.embedding import fuzzy_weights
 
-        found = louvain(fuzzy_weights(d, n_neighbors), resolution)
+        found = (louvain if method == "louvain" else leiden)(fuzzy_weights(d, n_neighbors), resolution)
     else:
         raise ValueError(f"no such method: {method!r}")
     return spark.createDataFrame([(i, int(c)) for i, c in enumerate(found)], "i long, cluster int")

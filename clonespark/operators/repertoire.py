@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clonespark.constants import GAP_CDR3, GAP_V, WEIGHT_CDR3, WEIGHT_V
 from clonespark.functions.exprs import hamming_distance
 from clonespark.operators.distance import distance_matrix
-from clonespark.plans.schema import REQUIRED, require_columns, with_index
+from clonespark.plans.schema import REQUIRED, require_columns, validate_chains, with_index
 
 
 def deduplicate_clones(clones: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -87,11 +87,21 @@ class Repertoire:
 
 def build_repertoire(clones: DataFrame, organism: str, chains: str = "AB", metric: str = "weighted", deduplicate: bool | list[str] = True, compute_distances: bool = False, v_distances: DataFrame | None = None, order: list[str] | None = None, **parameters) -> Repertoire:
     """A repertoire: validated, deduplicated (by chains and subject, or by chains and the named columns),
-    numbered by its columns, with all distances if asked for. Weights of the V region are held and, like
-    its gap penalty, not applied."""
+    numbered by its columns, with all distances if asked for.
+
+    Letters that are no amino acid are an error, and so are unknown V genes where V distances are given,
+    whatever the components; rows with a null in a chain go with deduplication and are an error without.
+    Weights of the V region are held and, like its gap penalty, not applied.
+    """
     if chains not in REQUIRED:
         raise ValueError(f"chains must be one of {sorted(REQUIRED)}")
     require_columns(clones, list(REQUIRED[chains]))
+    genes = None
+    if v_distances is not None:  # a few hundred
+        own = v_distances.filter(F.col("organism") == organism) if "organism" in v_distances.columns else v_distances
+        genes = [r["g1"] for r in own.select("g1").distinct().collect()]
+    chain_rows = clones.select(*REQUIRED[chains])
+    validate_chains(chain_rows if deduplicate is False else chain_rows.dropna(), genes)
     if deduplicate is not False:
         extra = [c for c in ("subject",) if c in clones.columns] if deduplicate is True else list(deduplicate)
         keys = [*REQUIRED[chains], *extra]

@@ -59,6 +59,21 @@ def validate_chains(df: DataFrame, genes: list[str] | None = None) -> None:
                 raise ValueError(f"unknown genes in {c}: {[r['gene'] for r in unknown]}")
 
 
+def running(df: DataFrame, order: str, out: str, value: str, lowest_after: bool = False) -> DataFrame:
+    """df with a running sum of value by order, as out; lowest_after: with the least value of the row and all
+    that follow. Ranges of the order are summed apart and offset by those before (or after), so that no task
+    takes everything. order has no ties and no nulls."""
+    ranged = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    inside = Window.partitionBy("__part").orderBy(F.desc(order) if lowest_after else order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fold = F.min if lowest_after else F.sum
+    held = ranged.withColumn("__own", fold(value).over(inside))
+    others = Window.orderBy(F.desc("__part") if lowest_after else "__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.groupBy("__part").agg(fold(value).alias("__all")).withColumn("__before", fold("__all").over(others))  # a row for each partition
+    joined = held.join(before.drop("__all"), "__part", "left")
+    total = F.least("__own", "__before") if lowest_after else F.col("__own") + F.coalesce("__before", F.lit(0))
+    return joined.withColumn(out, total).drop("__part", "__own", "__before")
+
+
 def with_index(df: DataFrame, order: list[str] | None = None, name: str = "clone_idx", start: int = 0) -> DataFrame:
     """df with positions by an explicit order. Ranges of the order are numbered apart and offset by the
     sizes of those before, so that no task sorts everything."""

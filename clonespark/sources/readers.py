@@ -76,7 +76,7 @@ def as_clone_table(df: DataFrame, names: Mapping[str, str] | None = None, format
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    df = spark.read.option("sep", sep).option("header", True).csv(path)
+    df = spark.read.option("sep", sep).option("header", True).csv(path)  # all columns are strings
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
     return df
@@ -106,14 +106,18 @@ def read_airr(spark: SparkSession, path: str, pair_by: str = "cell_id", producti
     return paired_from_airr(read_delimited(spark, path, "\t"), pair_by, productive_only, normalize_genes)
 
 
-def paired_from_10x(rows: DataFrame, pair_by: str = "barcode", normalize_genes: bool = True) -> DataFrame:
-    """Called cells' full-length productive contigs, the one with most UMIs for each chain, paired."""
+def paired_from_10x(rows: DataFrame, pair_by: str = "barcode", normalize_genes: bool = True, order: list[str] | None = None) -> DataFrame:
+    """Called cells' full-length productive contigs, the one with most UMIs for each chain, paired.
+
+    Of equal UMIs the first by order is taken; without it the first in the frame's own order, which is that
+    of the file when rows come straight from one.
+    """
     for c in ("is_cell", "full_length", "productive"):
         if c in rows.columns:
             rows = rows.filter(_true(F.col(c)))
     umis = F.col("umis").cast("long") if "umis" in rows.columns else F.lit(0)
     rows = rows.withColumn("__umis", umis).withColumn("__order", F.monotonically_increasing_id())
-    best = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(pair_by, "chain").orderBy(F.desc("__umis"), "__order"))).filter("__rank = 1")
+    best = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(pair_by, "chain").orderBy(F.desc("__umis"), *(order or ["__order"])))).filter("__rank = 1")
     chain = lambda name, c: best.filter(F.col("chain") == name).select(pair_by, F.col("v_gene").alias(f"v{c}"), F.col("j_gene").alias(f"j{c}"), F.col("cdr3").alias(f"cdr3{c}"))
     return normalized(pair_chains(chain("TRA", "a"), chain("TRB", "b"), pair_by), normalize_genes)
 

@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,11 +106,42 @@ def test_unknown_gene(clones, v):
 
 def test_single_chain(spark):
     beta = spark.createDataFrame([(0, "B0", "CASSIRSSYEQYF"), (1, "B0", "CASSIRSYEQYF")], "clone_idx long, vb string, cdr3b string")
-    assert pairs(dst.distance_sparse(beta, 100)) == {(0, 1): 12.0, (1, 0): 12.0}
+    assert pairs(dst.distance_sparse(beta, 100, "cdr3")) == {(0, 1): 12.0, (1, 0): 12.0}
     with pytest.raises(ValueError, match="neither chain"):
         dst.distance_sparse(beta.drop("vb"), 100)
 
 
+def test_missing_v_distances_and_wrong_rows_are_errors(spark, clones, tmp_path):
+    beta = spark.createDataFrame([(0, "B0", "CASSIRSSYEQYF"), (1, "B0", "CASSIRSYEQYF")], "clone_idx long, vb string, cdr3b string")
+    for call in (lambda: dst.distance_sparse(beta, 100), lambda: dst.knn(beta, 1), lambda: dst.distance_join(beta, beta, 10), lambda: dst.radius_neighbours(beta, 10, ["vb", "cdr3b"])):
+        with pytest.raises(ValueError, match="V distances"):
+            call()
+    with pytest.raises(ValueError, match="V distances"):
+        build_repertoire(clones, "human", compute_distances=True)
+    with pytest.raises(ValueError, match="letters"):
+        build_repertoire(clones.withColumn("cdr3b", F.lit("CAXF")), "human")
+    with pytest.raises(ValueError, match="null"):
+        build_repertoire(clones.withColumn("va", F.lit(None).cast("string")), "human", deduplicate=False)
+    known = spark.createDataFrame([("human", "A", "A0", "A0", 0.0)], "organism string, chain string, g1 string, g2 string, vdist double")
+    with pytest.raises(ValueError, match="unknown genes"):
+        build_repertoire(clones, "human", v_distances=known)
+
+
+def test_pairs_of_many_blocks(spark, monkeypatch):
+    """Blocks so small that each length class takes several meet once each, and lose and repeat no pair."""
+    rng = np.random.default_rng(4)
+    rows = [(k, "B0", "CAS" + "".join(rng.choice(list("ACDEFGHIKL"), rng.integers(3, 9))) + "QYF") for k in range(300)]
+    table = spark.createDataFrame(rows, "clone_idx long, vb string, cdr3b string")
+    want = {(a, b): d for a in range(300) for b in range(a + 1, 300) if (d := kernel.cdr3_distance(rows[a][2], rows[b][2])) <= 40}
+    for dealt, block in ((8192, 1024), (17, 5)):
+        monkeypatch.setattr(dst, "DEALT", dealt)
+        monkeypatch.setattr(dst, "BLOCK", block)
+        got = dst.range_pairs(table, table, 40, dst.DistanceSpec(("cdr3b",)), same=True).collect()
+        assert len(got) == len(want) and {(r.i, r.j): r.dist for r in got} == want
+        other = dst.range_pairs(table.filter("clone_idx < 50"), table, 40, dst.DistanceSpec(("cdr3b",))).collect()
+        assert len(other) == len({(r.i, r.j) for r in other}) and {(r.i, r.j): r.dist for r in other if r.i < r.j} == {k: v for k, v in want.items() if k[0] < 50}
+
+
 def test_join(clones):
     left, right = clones.filter("clone_idx < 10"), clones.filter("clone_idx >= 5")
     want = brute(clones, ("cdr3b",))
