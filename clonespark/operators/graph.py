@@ -6,20 +6,26 @@ import math
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clonespark.plans.schema import with_index
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A copy in the checkpoint folder, which executors share."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which executors share; one of our own only in a single process."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="clonespark-"))
+    return str(sc._jsc.sc().getCheckpointDir().get())
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A copy in the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -20,7 +20,7 @@ from clonespark.operators import distance as dst
 from clonespark.operators import embedding, enrichment, graph, plotdata
 from clonespark.operators.cd8 import ChainModel, cd8_scores
 from clonespark.operators.genes import v_distances
-from clonespark.operators.junction import background_frequencies, nucleotide_sources, shuffled_chains, with_junctions
+from clonespark.operators.junction import shuffled_chains
 from clonespark.operators.repertoire import build_repertoire, deduplicate_clones
 from clonespark.sources import readers
 
@@ -191,7 +191,9 @@ def hamming_pair(spark, sf_dir):
 
 @query(f"SELECT a, b, {_cost_sql('a', 'b')} AS cost FROM (SELECT unnest(string_split('{AMINO_ACIDS}', '')) AS a), (SELECT unnest(string_split('{AMINO_ACIDS}', '')) AS b)")
 def bsd4_table(spark, sf_dir):
-    return spark.createDataFrame([(a, b, int(BSD4[i, j])) for i, a in enumerate(AMINO_ACIDS) for j, b in enumerate(AMINO_ACIDS)], "a string, b string, cost int")
+    """The cost of each pair of letters, as the distance of loops of one letter."""
+    letters = spark.createDataFrame([(x,) for x in AMINO_ACIDS], "a string")
+    return letters.crossJoin(letters.withColumnRenamed("a", "b")).select("a", "b", exprs.loop_distance("a", "b").cast("int").alias("cost"))
 
 
 @query(f"WITH {SUPPLIERS}, {seq_distances_sql('cdr3b', 'sd', 'su', 'su')}, ps AS (SELECT p.clone_idx AS i, q.clone_idx AS j, CASE WHEN p.clone_idx = q.clone_idx OR p.va = q.va THEN 1000.0 ELSE dist END AS dist FROM sd JOIN su p ON p.cdr3b = x JOIN su q ON q.cdr3b = y) SELECT i, CAST(r AS INTEGER) AS rank, j, CAST(dist AS DOUBLE) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS r FROM ps) WHERE r <= 7")
@@ -236,16 +238,11 @@ def distance_join_left(spark, sf_dir):
     return dst.distance_join(cut("supplier"), cut("customer"), 6, 3, "left", components=["cdr3b"]).drop("vb_x", "vb_y")
 
 
-@query(f"WITH {SUPPLIERS}, {BASE} SELECT clone_idx, cdr3a FROM cl WHERE cdr3a IN (SELECT cdr3a FROM su WHERE subject IN ('1', '2', '3'))")
-def strict_alpha_matches(spark, sf_dir):
-    return dst.strict_matches(clones(spark, sf_dir, "supplier").filter(F.col("subject").isin("1", "2", "3")), clones(spark, sf_dir))[0].select("clone_idx", "cdr3a")
-
-
 UNMATCHED = "db AS (SELECT clone_idx, CASE WHEN clone_idx % 5 = 4 THEN 'C' || cdr3a ELSE cdr3a END AS cdr3a, CASE WHEN clone_idx % 7 = 3 THEN 'C' || cdr3b ELSE cdr3b END AS cdr3b FROM cl)"
 
 
 @query(f"WITH {SUPPLIERS}, {BASE}, {UNMATCHED} SELECT 'alpha' AS chain, clone_idx, cdr3a AS cdr3 FROM db WHERE cdr3a IN (SELECT cdr3a FROM su) UNION ALL SELECT 'beta', clone_idx, cdr3b FROM db WHERE cdr3b IN (SELECT cdr3b FROM su)")
-def strict_chain_matches(spark, sf_dir):
+def strict_matches(spark, sf_dir):
     """All supplier clones, both chains; some of the customers' sequences have a letter more, which no supplier has."""
     c = clones(spark, sf_dir)
     for column, odd in (("cdr3a", F.col("clone_idx") % 5 == 4), ("cdr3b", F.col("clone_idx") % 7 == 3)):
@@ -263,12 +260,12 @@ def deduplicate(spark, sf_dir):
     return out.select("va", "cdr3a", "vb", "cdr3b", "subject", "clone_idx", "count")
 
 
-@query(f"WITH {BASE}, g AS (SELECT va, cdr3a, vb, cdr3b, subject, sum(\"count\") AS n FROM cl GROUP BY ALL) SELECT clone_idx - 1 AS clone_idx, va, cdr3a, vb, cdr3b, subject, CAST(n AS BIGINT) AS \"count\" FROM (SELECT *, row_number() OVER (ORDER BY va, cdr3a, vb, cdr3b, subject) AS clone_idx FROM g) WHERE n > 5")
+@query(f"WITH {BASE}, g AS (SELECT va, cdr3a, vb, cdr3b, subject, sum(\"count\") AS n FROM cl GROUP BY ALL) SELECT row_number() OVER (ORDER BY va, cdr3a, vb, cdr3b, subject) - 1 AS clone_idx, va, cdr3a, vb, cdr3b, subject, CAST(n AS BIGINT) AS \"count\" FROM g WHERE n > 5")
 def repertoire_subset(spark, sf_dir):
-    """A repertoire is built, numbered and filtered; here its clones keep their first numbers."""
-    c = clones(spark, sf_dir).select("va", "cdr3a", "vb", "cdr3b", "subject", "count").groupBy("va", "cdr3a", "vb", "cdr3b", "subject").agg(F.sum("count").cast("long").alias("count"))
-    rep = build_repertoire(c, "synthetic", deduplicate=False, order=["va", "cdr3a", "vb", "cdr3b", "subject"])
-    return rep.clones.filter("`count` > 5").select("clone_idx", "va", "cdr3a", "vb", "cdr3b", "subject", "count")
+    """A repertoire is deduplicated, numbered, filtered and numbered again."""
+    c = clones(spark, sf_dir).select("va", "cdr3a", "vb", "cdr3b", "subject", "count")
+    rep = build_repertoire(c, "synthetic", order=["va", "cdr3a", "vb", "cdr3b", "subject"])
+    return rep.subset("`count` > 5").clones.select("clone_idx", "va", "cdr3a", "vb", "cdr3b", "subject", "count")
 
 
 COUNTS = "ct AS (SELECT c_nationkey AS grp, o_custkey AS key, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), pr AS (SELECT grp, n, n / sum(n) OVER (PARTITION BY grp) AS p, sum(n) OVER (PARTITION BY grp) AS t, row_number() OVER (PARTITION BY grp ORDER BY n, key) AS r, count(*) OVER (PARTITION BY grp) AS s FROM ct)"
@@ -329,22 +326,11 @@ def fuzzy_diversity(spark, sf_dir):
     return d.select(F.round("fuzzy_entropy", 6).alias("fuzzy_entropy"), F.round("standard_entropy", 6).alias("standard_entropy"))
 
 
-OVERLAP = "WITH x AS (SELECT event_type || (user_id % 50) AS k, count(*)::DOUBLE AS n FROM events WHERE user_id % 3 = 0 GROUP BY 1), y AS (SELECT event_type || (user_id % 50) AS k, count(*)::DOUBLE AS n FROM events WHERE user_id % 3 = 1 GROUP BY 1), f AS (SELECT x.n AS a, y.n AS b, x.n/(SELECT sum(n) FROM x) AS p, y.n/(SELECT sum(n) FROM y) AS q FROM x FULL JOIN y ON x.k = y.k)"
+OVERLAP = "WITH c AS (SELECT user_id % 3 AS side, event_type || (user_id % 50) AS k, count(*)::DOUBLE AS n FROM events GROUP BY ALL), s AS (SELECT *, n/sum(n) OVER (PARTITION BY side) AS p FROM c), w AS (SELECT side, count(*) AS keys, sum(p*p) AS pp FROM s GROUP BY side), h AS (SELECT x.side AS a, y.side AS b, count(*) AS shared, sum(x.p*y.p) AS pq FROM s x JOIN s y ON x.k = y.k AND x.side < y.side GROUP BY ALL)"
 
 
-@query(f"{OVERLAP} SELECT round(count(*) FILTER (a IS NOT NULL AND b IS NOT NULL)/count(*), 6) AS jaccard, round(coalesce(2*sum(p*q)/(sum(p*p) + sum(q*q)), 0), 6) AS morisita_horn, round(count(*) FILTER (a IS NOT NULL AND b IS NOT NULL)/least(count(a), count(b)), 6) AS overlap_coef FROM f")
+@query(f"{OVERLAP} SELECT x.side AS a, y.side AS b, round(coalesce(shared, 0)/(x.keys + y.keys - coalesce(shared, 0)), 6) AS jaccard, round(coalesce(2*pq, 0)/(x.pp + y.pp), 6) AS morisita_horn, round(coalesce(shared, 0)/least(x.keys, y.keys), 6) AS overlap_coef FROM w x JOIN w y ON x.side < y.side LEFT JOIN h ON h.a = x.side AND h.b = y.side")
 def repertoire_overlap(spark, sf_dir):
-    """Two repertoires of event types by user bucket: those of users 0 and 1 modulo 3."""
-    e = table(spark, sf_dir, "events").select(F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("key"), (F.col("user_id") % 3).alias("side"), F.lit(1).alias("count"))
-    o = div.overlap(e.filter("side = 0"), e.filter("side = 1"), "key")
-    return o.select(*[F.round(c, 6).alias(c) for c in o.columns])
-
-
-OVERLAP_PAIRS = "WITH c AS (SELECT user_id % 3 AS side, event_type || (user_id % 50) AS k, count(*)::DOUBLE AS n FROM events GROUP BY ALL), s AS (SELECT *, n/sum(n) OVER (PARTITION BY side) AS p FROM c), w AS (SELECT side, count(*) AS keys, sum(p*p) AS pp FROM s GROUP BY side), h AS (SELECT x.side AS a, y.side AS b, count(*) AS shared, sum(x.p*y.p) AS pq FROM s x JOIN s y ON x.k = y.k AND x.side < y.side GROUP BY ALL)"
-
-
-@query(f"{OVERLAP_PAIRS} SELECT x.side AS a, y.side AS b, round(coalesce(shared, 0)/(x.keys + y.keys - coalesce(shared, 0)), 6) AS jaccard, round(coalesce(2*pq, 0)/(x.pp + y.pp), 6) AS morisita_horn, round(coalesce(shared, 0)/least(x.keys, y.keys), 6) AS overlap_coef FROM w x JOIN w y ON x.side < y.side LEFT JOIN h ON h.a = x.side AND h.b = y.side")
-def repertoire_overlap_pairs(spark, sf_dir):
     """The whole table in three repertoires, by user modulo 3: one overlap for each pair of them."""
     e = table(spark, sf_dir, "events").select(F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("key"), (F.col("user_id") % 3).alias("side"), F.lit(1).alias("count"))
     side = lambda k: e.filter(F.col("side") == k)
@@ -509,13 +495,6 @@ def neighbourhood_tally(spark, sf_dir):
     return enrichment.neighbourhood_tally(dst.distance_sparse(c, 24, ["cdr3b"]), c.select(F.col("clone_idx").alias("i"), F.col("epitope").alias("label")), 24)
 
 
-@query()
-def neighbourhood_fisher(spark, sf_dir):
-    c = clones(spark, sf_dir)
-    labels = c.select(F.col("clone_idx").alias("i"), F.when(F.col("epitope") == "E0", "in").otherwise("out").alias("label"))
-    return enrichment.neighbourhood_test(dst.distance_sparse(c, 12, ["cdr3b"]), labels, 12).select("i", "n_neighbors", "odds_ratio", "pvalue", "pvalue_adj")
-
-
 @query(f"WITH RECURSIVE {SUPPLIERS}, {seq_distances_sql('cdr3b', 'sd', 'su', 'su')}, e AS (SELECT p.clone_idx AS i, q.clone_idx AS j FROM sd JOIN su p ON p.cdr3b = x JOIN su q ON q.cdr3b = y WHERE dist <= 12), r AS (SELECT clone_idx AS i, clone_idx AS c FROM su UNION SELECT e.j, r.c FROM r JOIN e ON e.i = r.i) SELECT i, min(c) AS component FROM r GROUP BY i")
 def connected_components(spark, sf_dir):
     c = clones(spark, sf_dir, "supplier")
@@ -544,21 +523,6 @@ def possible_neighbours(spark, sf_dir):
     return enrichment.possible_neighbours(clones(spark, sf_dir, "supplier").select(F.col("clone_idx").alias("i"), F.col("va").alias("agroup"), F.col("vb").alias("bgroup")))
 
 
-@query()
-def poisson_clumps(spark, sf_dir):
-    """Neighbour counts against a background of one in a thousand for each unit of distance."""
-    c = clones(spark, sf_dir)
-    groups = dst.tcr_groups(c)
-    edges = dst.radius_neighbours(c.join(groups, F.col("clone_idx") == F.col("i")).drop("i"), 12, ["cdr3b"], agroup="agroup", bgroup="bgroup")
-    background = c.select(F.col("clone_idx").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(12))).alias("d")).withColumn("freq", 1e-5 * (F.col("d") + 1))
-    return enrichment.find_clumping(c, edges, groups, background, (6, 12))
-
-
-@query()
-def fuzzy_graph(spark, sf_dir):
-    return embedding.fuzzy_graph(dst.knn(clones(spark, sf_dir), 10, ["cdr3b"]))
-
-
 @query()
 def kernel_pca(spark, sf_dir):
     _, edges, n = _numbered_suppliers(spark, sf_dir)
@@ -613,16 +577,6 @@ def _junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cdr3b", exprs.translation("cdr3b_nucseq"))
 
 
-@query()
-def junction_analysis(spark, sf_dir):
-    return with_junctions(_junctions(spark, sf_dir), SEGMENTS, "B").select("clone_idx", "cdr3b_nucseq", "junction.*")
-
-
-@query()
-def nucleotide_source(spark, sf_dir):
-    return nucleotide_sources(_junctions(spark, sf_dir), SEGMENTS, "B").select("clone_idx", F.array_join("nucseq_src", "-").alias("nucseq_src"))
-
-
 @query()
 def shuffled_background(spark, sf_dir):
     """Chains spliced from pairs of junctions, as many as there are customers."""
@@ -630,14 +584,6 @@ def shuffled_background(spark, sf_dir):
     return shuffled_chains(j, SEGMENTS, "B", table(spark, sf_dir, "customer").count(), seed=1)
 
 
-@query()
-def background_distribution(spark, sf_dir):
-    """Shares of paired background chains within 0 to 96 of each supplier's clone; the background is all customers' chains."""
-    own, other = clones(spark, sf_dir, "supplier"), clones(spark, sf_dir)
-    spec = dst.DistanceSpec.of(own, "all", v_distances(loops(spark)))
-    return background_frequencies(own, other.select("va", "cdr3a"), other.select("vb", "cdr3b"), spec, 96)
-
-
 MATCHES = f"WITH {SUPPLIERS}, {BASE}, {seq_distances_sql('cdr3b', 'sd', 'su', 'cl')}, m AS (SELECT (SELECT count(*) FROM su) * (SELECT count(*) FROM cl) AS m), e AS (SELECT p.clone_idx AS query_index, q.clone_idx AS db_index, dist AS distance, 1e-9*(dist + 1) AS f, q.epitope AS db_epitope FROM sd JOIN su p ON p.cdr3b = x JOIN cl q ON q.cdr3b = y WHERE dist <= 200), r AS (SELECT *, m*f/(rank() OVER (ORDER BY f) + count(*) OVER (PARTITION BY f) - 1) AS raw, m*f AS pvalue_adj FROM e, m)"
 
 
@@ -685,12 +631,6 @@ def umap_layout(spark, sf_dir):
     return embedding.umap(edges, n, 8)
 
 
-@query()
-def neighbourhood_chi_square(spark, sf_dir):
-    c = clones(spark, sf_dir)
-    return enrichment.neighbourhood_test(dst.distance_sparse(c, 12, ["cdr3b"]), c.select(F.col("clone_idx").alias("i"), F.col("epitope").alias("label")), 12, "chisq").select("i", "n_neighbors", "pvalue", "pvalue_adj")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clones of the reference table near each clone of the other, with their distance."""
     return QUERIES["distance_join"](spark, sf_dir)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from clonespark import queries
+from clonespark import operator_queries, queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,6 +19,10 @@ def sql():
     return connection
 
 
+def test_all_are_registered():
+    assert len(queries.QUERIES) > 100 and operator_queries.junction_analysis is queries.QUERIES["junction_analysis"]
+
+
 def rows(frame):
     def plain(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):
