@@ -87,5 +87,40 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-#: The queries that DuckDB's SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+_CONTROL = r"([<\[])(\\*)(\||/?s>|/?INST\])"
+
+CHAT_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) AS escaped, length(role) + len(regexp_extract_all(role, '{_CONTROL}')) AS escaped_role FROM t),
+o AS (SELECT *, row_number() OVER w AS r, lag(role) OVER w AS before FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY r)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY r) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum(escaped + CASE WHEN before IS NULL OR before <> role THEN escaped_role + {len("<|message|><|content|><|end|>")} ELSE {len("<|turn|>")} END)::BIGINT AS formatted_chars FROM o GROUP BY conv_id
+"""
+
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+EMBEDDING_SQL = f"""
+WITH RECURSIVE d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE {_USABLE}), v AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM d WHERE list_inner_product(e, e) > 0),
+p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e)/(a.norm*b.norm) >= 0.95),
+r AS (SELECT DISTINCT i, i AS c FROM p UNION SELECT p.j, r.c FROM r JOIN p ON p.i = r.i), c AS (SELECT i, min(c) AS c FROM r GROUP BY i), n AS (SELECT i, count(*) AS n FROM p GROUP BY i)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.i = vec_id LEFT JOIN c ON c.i = vec_id
+"""
+
+TOP_SQL = f"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64*CAST(x AS DOUBLE))) AS e FROM embeddings WHERE {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 20
+"""
+
+DUPLICATES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) END AS s FROM w), n AS (SELECT doc_id, len(s) AS n FROM s),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s), h AS (SELECT a.doc_id AS i, b.doc_id AS j, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS both_ FROM u a JOIN u b ON a.s = b.s AND a.doc_id < b.doc_id AND 5*least(a.n, b.n) >= 4*greatest(a.n, b.n) GROUP BY 1, 2),
+e AS (SELECT i, j FROM h WHERE 100*both_ >= 80*(x + y - both_)), p AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e), r AS (SELECT DISTINCT i, i AS c FROM p UNION SELECT p.j, r.c FROM r JOIN p ON p.i = r.i), c AS (SELECT i, min(c) AS c FROM r GROUP BY i)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM n LEFT JOIN c ON c.i = doc_id
+"""
+
+#: SQL of the queries that can be expressed on whole tables; ids are taken to be unique there. The others
+#: tokenize, learn a model, or follow a schedule of hashes, and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": CHAT_SQL, "op4_embedding_dedup": EMBEDDING_SQL, "op6_exact_topk": TOP_SQL, "op7_minhash_dedup": DUPLICATES_SQL}
