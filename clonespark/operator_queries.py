@@ -346,6 +346,30 @@ def junction_breakpoints(spark, sf_dir):
     return held.select("clone_idx", _by_arrow(places(0), "string", "source").alias("before"), _by_arrow(places(1), "string", "source").alias("after"))
 
 
+_MASKED = "array_to_string(list_transform(range(1, len({c}) + 1), lambda k: CASE {c}[k] WHEN 0 THEN '-' WHEN 1 THEN lower(aa[k]) ELSE aa[k] END), '')"
+
+
+@query(f"""{JUNCTION_SQL}, al AS (SELECT *, repeat('V', CAST(v AS INTEGER)) || repeat('N', CAST(n AS INTEGER)) || repeat('J', CAST(j AS INTEGER)) AS asrc FROM cnt), ac AS (SELECT *, list_transform(range(0, length(nuc)//3), lambda k: length(replace(replace(substr(asrc, CAST(3*k + 1 AS INTEGER), 3), 'V', ''), 'J', ''))) AS a FROM al)
+SELECT id AS clone_index, 'V0' AS va, 'JB0' AS ja, array_to_string(aa, '') AS cdr3a, nuc AS cdr3a_nucseq, {_MASKED.format(c="a")} AS cdr3a_protseq_masked, asrc AS cdr3a_nucseq_src, ({len(SEGMENTS["V"]["V0"])} - v)::INTEGER AS va_trim, ({len(SEGMENTS["J"]["JB0"])} - j)::INTEGER AS ja_trim, n::INTEGER AS a_insert,
+'V0' AS vb, 'JB0' AS jb, array_to_string(aa, '') AS cdr3b, nuc AS cdr3b_nucseq, {_MASKED.format(c="c")} AS cdr3b_protseq_masked, source AS cdr3b_nucseq_src, ({len(SEGMENTS["V"]["V0"])} - v)::INTEGER AS vb_trim, d0::INTEGER AS d0_trim, d1::INTEGER AS d1_trim, ({len(SEGMENTS["J"]["JB0"])} - j)::INTEGER AS jb_trim,
+CASE WHEN l = 0 THEN 0 ELSE pos END::INTEGER AS vd_insert, CASE WHEN l = 0 THEN 0 ELSE n - pos - l END::INTEGER AS dj_insert, CASE WHEN l = 0 THEN n ELSE 0 END::INTEGER AS vj_insert FROM ac""")
+def junction_table(spark, sf_dir):
+    """Both chains of each clone in one row; here they have the same nucleotides, of which only the beta chain looks for a D gene."""
+    j = _junctions(spark, sf_dir)
+    return junction.parse_junctions(j.withColumns({"va": F.col("vb"), "ja": F.col("jb"), "cdr3a": F.col("cdr3b"), "cdr3a_nucseq": F.col("cdr3b_nucseq")}), SEGMENTS)
+
+
+#: Two alleles of one V gene, the second of which explains more of some junctions.
+ALLELES = {"V": {"V0*01": "tgtgccagcagctta", "V0*02": "tgtgccagcagcgggaca"}, "J": {"JB0*01": "tacgagcagtacttt"}, "D": {}}
+
+
+@query(f"WITH n AS (SELECT id, nuc FROM ({JUNCTION_SQL} SELECT id, nuc FROM n)), s AS (SELECT id, a, k, sum(CASE WHEN substr(seq, CAST(k AS INTEGER), 1) = substr(nuc, CAST(k AS INTEGER), 1) THEN 1 ELSE -4 END) OVER (PARTITION BY id, a ORDER BY k) AS s FROM n, (VALUES (1, '{ALLELES['V']['V0*01']}'), (2, '{ALLELES['V']['V0*02']}')) g(a, seq), range(1, 30) r(k) WHERE k <= least(length(seq), length(nuc))), m AS (SELECT id, a, coalesce(max(k) FILTER (s = t), 0) AS m FROM (SELECT *, greatest(max(s) OVER (PARTITION BY id, a), 0) AS t FROM s) GROUP BY id, a) SELECT 'V0*01' AS \"old\", 'V0*02' AS \"new\", count(*) AS \"count\" FROM m x JOIN m y ON x.id = y.id AND x.a = 1 AND y.a = 2 WHERE y.m >= x.m + 2")
+def allele_replacements(spark, sf_dir):
+    """How often another allele of the gene explains two nucleotides more of a junction."""
+    j = _junctions(spark, sf_dir).withColumns({"vb": F.lit("V0*01"), "jb": F.lit("JB0*01")})
+    return junction.allele_swaps(j, ALLELES, "B")[1]
+
+
 @query(f"WITH {SUPPLIERS}, {BASE}, {seq_distances_sql('cdr3a', 'sa', 'su', 'cl')}, {seq_distances_sql('cdr3b', 'sb', 'su', 'cl')}, {loops_sql()}, {v_sql()}, ha AS (SELECT p.clone_idx AS i, least(floor(dist + vdist), 96) AS d, count(*) AS n FROM su p JOIN sa ON x = p.cdr3a JOIN cl q ON q.cdr3a = y JOIN vd ON g1 = p.va AND g2 = q.va GROUP BY 1, 2), hb AS (SELECT p.clone_idx AS i, least(floor(dist + vdist), 96) AS d, count(*) AS n FROM su p JOIN sb ON x = p.cdr3b JOIN cl q ON q.cdr3b = y JOIN vd ON g1 = p.vb AND g2 = q.vb GROUP BY 1, 2), ps AS (SELECT ha.i, ha.d + hb.d AS d, sum(ha.n * hb.n) AS n FROM ha JOIN hb ON ha.i = hb.i WHERE ha.d + hb.d <= 96 GROUP BY 1, 2), g AS (SELECT clone_idx AS i, d FROM su, range(0, 97) r(d)), c AS (SELECT g.i, g.d, sum(coalesce(ps.n, 0)) OVER (PARTITION BY g.i ORDER BY g.d) AS n FROM g LEFT JOIN ps ON ps.i = g.i AND ps.d = g.d) SELECT i, d::INTEGER AS d, round(greatest(n, 0.25)/((SELECT count(*) FROM cl)*(SELECT count(*) FROM cl)), 12) AS freq FROM c")
 def background_distribution(spark, sf_dir):
     """Shares of paired background chains within 0 to 96 of each supplier's clone; the background is all customers' chains."""
@@ -473,7 +497,39 @@ def clusters_by_size(spark, sf_dir):
 def automatic_eps(spark, sf_dir):
     """Where the sorted sixth distances bend most."""
     near = dst.knn(clones(spark, sf_dir, "supplier"), 6, ["cdr3b"]).filter("rank = 6")
-    return spark.createDataFrame([(graph.auto_eps(near.toPandas()["dist"].to_numpy()),)], "eps double")
+    return spark.createDataFrame([(graph.auto_eps_of(near),)], "eps double")
+
+
+@query(f"WITH {SUPPLIERS}, {BASE}, db AS (SELECT *, row_number() OVER (ORDER BY vb, cdr3b, epitope) - 1 AS at_ FROM (SELECT vb, cdr3b, epitope || '-' || clone_idx AS epitope FROM cl)), {seq_distances_sql('cdr3b', 'sd', 'su', 'db')}, e AS (SELECT p.clone_idx AS query_index, q.at_ AS db_index, dist AS distance, q.epitope AS db_epitope, 1e-9*(dist + 1)*(SELECT count(*) FROM su)*(SELECT count(*) FROM cl) AS adj FROM sd JOIN su p ON p.cdr3b = x JOIN db q ON q.cdr3b = y WHERE dist <= 60) SELECT query_index, db_index, distance, db_epitope, round(adj, 9) AS pvalue_adj FROM e WHERE adj <= 1")
+def database_file_matches(spark, sf_dir):
+    """A database in a file, numbered by its columns."""
+    own, other = clones(spark, sf_dir, "supplier"), clones(spark, sf_dir)
+    path = stored(other.select(F.col("vb").alias("vb_gene"), "cdr3b", F.concat_ws("-", "epitope", "clone_idx").alias("epitope")), "matches", "\t")
+    background = own.select(F.col("clone_idx").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(200))).alias("d")).withColumn("freq", F.when(F.col("d") <= 60, 1e-9 * (F.col("d") + 1)).otherwise(1.0))
+    found = enrichment.match_to_database(own, path, background, dst.DistanceSpec(("cdr3b",)))
+    return found.select("query_index", "db_index", "distance", "db_epitope", F.round("pvalue_adj", 9).alias("pvalue_adj"))
+
+
+@query(f"WITH {BASE}, u AS (SELECT DISTINCT clone_idx % 20 AS family, cdr3b[4:-3] AS s FROM cl), p AS (SELECT family, k - 1 AS position, substr(s, CAST(k AS INTEGER), 1) AS letter, count(*) AS n FROM u, range(1, 40) r(k) WHERE k <= length(s) GROUP BY ALL) SELECT family, position::INTEGER AS position, letter, round(n/sum(n) OVER (PARTITION BY family, position), 9) AS share FROM p")
+def cdr3_profiles(spark, sf_dir):
+    """Letters at each place of a family's CDR3s, which have one length."""
+    rows = clones(spark, sf_dir).withColumn("family", F.col("clone_idx") % 20).select("family", "cdr3b").distinct()
+    return plotdata.profiles(rows, "family", "cdr3b").withColumn("share", F.round("share", 9))
+
+
+@query(f"{LINKS}, d AS (SELECT i, count(*) FILTER (i <> j) AS degree FROM e GROUP BY i) SELECT i, c AS component, degree FROM co JOIN d USING (i)")
+def network_nodes(spark, sf_dir):
+    c = clones(spark, sf_dir, "supplier")
+    return graph.network(c.select(F.col("clone_idx").alias("i")), dst.distance_sparse(c, 12, ["cdr3b"]), 12.0)[0].select("i", "component", "degree")
+
+
+@query(f"WITH {SUPPLIERS}, {seq_distances_sql('cdr3b', 'sd', 'su', 'su')}, d AS (SELECT p.clone_idx - (SELECT min(clone_idx) FROM su) AS i, q.clone_idx - (SELECT min(clone_idx) FROM su) AS j, dist FROM sd JOIN su p ON p.cdr3b = x JOIN su q ON q.cdr3b = y) SELECT i, j, dist, (SELECT median(dist) FROM d WHERE i < j) AS midpoint, (SELECT count(DISTINCT i) FROM d) AS places FROM d")
+def heatmap_cells(spark, sf_dir):
+    """The cells of an ordered heatmap, with the midpoint of its colours; the order itself is one of many."""
+    _, edges, n = _numbered_suppliers(spark, sf_dir)
+    cells, midpoint = plotdata.ordered_heatmap(edges, n)
+    places = cells.agg(F.countDistinct("x").alias("places"))
+    return cells.crossJoin(places).select("i", "j", "dist", F.lit(midpoint).alias("midpoint"), "places")
 
 
 # ---- tables behind figures ------------------------------------------------------------------------------

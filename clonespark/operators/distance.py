@@ -111,15 +111,36 @@ def _boxes(rows: DataFrame, least: int, most: int) -> list[dict]:
     return boxes
 
 
-def range_pairs(left: DataFrame, right: DataFrame, threshold: float, spec: DistanceSpec, left_idx: str = "clone_idx", right_idx: str = "clone_idx", same: bool = False, groups: tuple[str, ...] = ()) -> DataFrame:
+def _counted(row: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, dist, n) of the distinct pairs of both."""
+    if not len(dist):
+        return row, dist, np.zeros(0, np.int64)
+    code = dist.astype(np.int64)
+    if (code == dist).all():
+        least = code.min()
+        levels = np.arange(least, code.max() + 1, dtype=np.float64)
+        code -= least
+    else:
+        levels, code = np.unique(dist, return_inverse=True)
+    n = np.bincount(row * len(levels) + code)
+    at = np.flatnonzero(n)
+    return at // len(levels), levels[at % len(levels)], n[at]
+
+
+def range_pairs(left: DataFrame, right: DataFrame, threshold: float, spec: DistanceSpec, left_idx: str = "clone_idx", right_idx: str = "clone_idx", same: bool = False, groups: tuple[str, ...] = (), counts: str | None = None) -> DataFrame:
     """(i, j, dist) of all pairs with dist <= threshold; same: both sides are one table, i < j only.
 
+    counts: instead of pairs their number n by dist ("all") or by i and dist ("left", of two tables),
+    added up inside the tasks first.
+
     groups: columns of both in each of which a pair must differ. Lengths over 64 count as 64 in the
     dealing alone. Both sides go in blocks of at most DEALT rows, so a task holds two blocks however
     large the tables are; of one table each two blocks meet once.
     """
     if threshold < 0:
         raise ValueError("the threshold is negative")
+    if counts not in (None, "all", "left") or (counts == "left" and same):
+        raise ValueError(f"no such counts: {counts!r}")
     spark = left.sparkSession
     one = _prepared(left, left_idx, spec, groups).select("*", *_classes(spec))
     two = _prepared(right, right_idx, spec, groups).select("*", *_classes(spec))
@@ -139,11 +160,11 @@ def range_pairs(left: DataFrame, right: DataFrame, threshold: float, spec: Dista
         return rows.join(F.broadcast(known), ["la", "lb"]).select(*columns, box, own)  # at most 65 x 65 rows
 
     # At most as many rows as pairs of boxes; whether it is broadcast is left to the planner, by size.
-    pairs = spark.createDataFrame(meets, "p int, q int, np int, nq int")
-    from_p = placed(one, p_boxes, "p", "pb").join(pairs.select("p", "q", "nq"), "p")
+    reached = spark.createDataFrame(meets, "p int, q int, np int, nq int")
+    from_p = placed(one, p_boxes, "p", "pb").join(reached.select("p", "q", "nq"), "p")
     first = F.when(F.col("p") == F.col("q"), F.col("pb")).otherwise(0) if same else F.lit(0)
     from_p = from_p.select(*columns, "p", "pb", "q", F.explode(F.sequence(first, F.col("nq") - 1)).alias("qb"))
-    from_q = placed(two, q_boxes, "q", "qb").join(pairs.select("p", "q", "np"), "q")
+    from_q = placed(two, q_boxes, "q", "qb").join(reached.select("p", "q", "np"), "q")
     last = F.when(F.col("p") == F.col("q"), F.col("qb")).otherwise(F.col("np") - 1) if same else F.col("np") - 1
     from_q = from_q.select(*columns, "p", F.explode(F.sequence(F.lit(0), last)).alias("pb"), "q", "qb")
 
@@ -161,12 +182,20 @@ def range_pairs(left: DataFrame, right: DataFrame, threshold: float, spec: Dista
                     mask &= np.array(own.column(g).to_pylist(), object)[:, None] != np.array(part.column(g).to_pylist(), object)[None, :]
                 dist, within = spec.block(own, part, threshold, mask)
                 r, c = np.nonzero(within)
-                low, high = (np.minimum(i[r], j[c]), np.maximum(i[r], j[c])) if same else (i[r], j[c])
-                for out, values in zip(found, (low, high, dist[r, c]), strict=True):
-                    out.append(values)
+                if counts:
+                    row, value, n = _counted(r if counts == "left" else np.zeros(len(r), np.int64), dist[r, c])
+                    values = (i[row], n, value)
+                else:
+                    low, high = (np.minimum(i[r], j[c]), np.maximum(i[r], j[c])) if same else (i[r], j[c])
+                    values = (low, high, dist[r, c])
+                for out, x in zip(found, values, strict=True):
+                    out.append(x)
         return pa.table({n: pa.array(np.concatenate(x) if x else [], t) for n, x, t in zip(("i", "j", "dist"), found, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
-    return from_p.groupBy(*keys).cogroup(from_q.groupBy(*keys)).applyInArrow(compare, "i long, j long, dist double")
+    pairs = from_p.groupBy(*keys).cogroup(from_q.groupBy(*keys)).applyInArrow(compare, "i long, j long, dist double")
+    if counts:
+        return pairs.groupBy(*["i"] * (counts == "left"), "dist").agg(F.sum("j").alias("n"))
+    return pairs
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -180,6 +209,15 @@ def distance_sparse(clones: DataFrame, threshold: float, components="all", v_dis
     return mirrored(range_pairs(clones, clones, threshold, spec, idx, idx, same=True))
 
 
+def distance_counts(clones: DataFrame, references: DataFrame | None = None, threshold: float = math.inf, components="all", v_distances: DataFrame | None = None, organism: str | None = None, weight: int = WEIGHT_CDR3, gap: int = GAP_CDR3, idx: str = "clone_idx") -> DataFrame:
+    """(dist, n): how many pairs of clones have each distance; or (i, dist, n): how many references each clone
+    has at each. The pairs themselves never leave the tasks."""
+    spec = DistanceSpec.of(clones, components, v_distances, organism, weight, gap)
+    if references is None:
+        return range_pairs(clones, clones, threshold, spec, idx, idx, same=True, counts="all")
+    return range_pairs(clones, references, threshold, spec, idx, idx, counts="left")
+
+
 def distance_matrix(clones: DataFrame, components="all", v_distances: DataFrame | None = None, organism: str | None = None, weight: int = WEIGHT_CDR3, gap: int = GAP_CDR3, idx: str = "clone_idx") -> DataFrame:
     """All pairs in both directions and a zero diagonal, for small tables: rows grow with the square."""
     diagonal = clones.select(F.col(idx).cast("long").alias("i"), F.col(idx).cast("long").alias("j"), F.lit(0.0).alias("dist"))
@@ -210,6 +248,17 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("i", "rank", "j", "dist")
 
 
+def _nearest_places(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k least values, ties to the first column."""
+    kth = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if k < dist.shape[1] else np.full((len(dist), 1), np.inf)
+    row, col = np.nonzero(dist <= kth)  # row by row, columns ascending
+    order = np.lexsort((col, dist[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(dist)))
+    best = np.arange(len(row)) - first[row] < k
+    return row[best], col[best]
+
+
 def _neighbours(rows: DataFrame, k: int, block_distance, columns: list[str], agroup: str, bgroup: str, self_masked: bool) -> DataFrame:
     """k nearest over all pairs, block against block; pairs of one group count as far away, at 1000."""
     n = rows.count()
@@ -234,10 +283,10 @@ def _neighbours(rows: DataFrame, k: int, block_distance, columns: list[str], agr
             for one, two in groups:
                 far |= one[at : at + 512, None] == two[None, :]
             dist[far] = MASKED
-            top = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            out[0].append(np.repeat(i[at : at + 512], top.shape[1]))
-            out[1].append(j[top].ravel())
-            out[2].append(np.take_along_axis(dist, top, axis=1).ravel())
+            row, col = _nearest_places(dist, k)
+            out[0].append(i[at + row])
+            out[1].append(j[col])
+            out[2].append(dist[row, col])
         return pa.table({"i": pa.array(np.concatenate(out[0]) if out[0] else [], pa.int64()), "j": pa.array(np.concatenate(out[1]) if out[1] else [], pa.int64()), "dist": pa.array(np.concatenate(out[2]) if out[2] else [], pa.float64())})
 
     return nearest(left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(lambda a, b: best(a, b), "i long, j long, dist double"), k)

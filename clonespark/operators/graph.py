@@ -149,6 +149,17 @@ def auto_eps(distances: np.ndarray) -> float:
     return float(d[int(np.argmax(np.diff(d, 2))) + 1])
 
 
+def auto_eps_of(distances: DataFrame, dist: str = "dist") -> float:
+    """auto_eps of a column, without bringing it to the driver."""
+    ranked = with_index(distances.filter(F.col(dist).isNotNull()).select(F.col(dist).alias("d")), ["d"], "at")
+    n = ranked.count()
+    if n < 3:
+        return auto_eps(np.array([r["d"] for r in ranked.collect()]))
+    after = lambda k: ranked.select((F.col("at") - k).alias("at"), F.col("d").alias(f"d{k}"))
+    bends = ranked.join(after(1), "at").join(after(2), "at").select("at", "d1", (F.col("d") - 2 * F.col("d1") + F.col("d2")).alias("bend"))
+    return float(bends.agg(F.max(F.struct("bend", (-F.col("at")).alias("first"), "d1")).alias("m")).first()["m"]["d1"])
+
+
 # Below: algorithms on a dense matrix of at most a few thousand points, by contract.
 
 
@@ -343,7 +354,7 @@ def cluster_clones(edges: DataFrame, n: int, method: str = "hierarchical", k: in
         if eps is None:
             kth = Window.partitionBy("i").orderBy("dist", "j")
             near = edges.filter("i <> j").withColumn("r", F.row_number().over(kth)).filter(F.col("r") == min_points - 1)
-            eps = auto_eps(near.select("dist").toPandas()["dist"].to_numpy())
+            eps = auto_eps_of(near)
         return dbscan(spark.range(n).withColumnRenamed("id", "i"), edges, eps, min_points)
     d = dense(edges, n)
     if method == "hierarchical":

@@ -69,14 +69,14 @@ def gene_stack(clones: DataFrame, gene: str, genes: DataFrame | None = None, mos
 
 
 def distance_histogram(edges: DataFrame, bins: int = 30) -> DataFrame:
-    """(low, high, count, density) of equal bins over the distances i < j."""
-    pairs = edges.filter("i < j").select("dist")
-    span = pairs.agg(F.min("dist").alias("a"), F.max("dist").alias("b"), F.count("*").alias("n")).first()
+    """(low, high, count, density) of equal bins over the distances i < j, or over their counts (dist, n)."""
+    pairs = edges if "n" in edges.columns else edges.filter("i < j").select("dist", F.lit(1).alias("n"))
+    span = pairs.agg(F.min("dist").alias("a"), F.max("dist").alias("b"), F.sum("n").alias("n")).first()
     if not span["n"]:
         return edges.sparkSession.createDataFrame([], "low double, high double, count long, density double")
     width = (span["b"] - span["a"]) / bins or 1.0
     which = F.least(F.floor((F.col("dist") - span["a"]) / width), F.lit(bins - 1)).alias("bin")
-    return pairs.groupBy(which).agg(F.count("*").alias("count")).select((span["a"] + F.col("bin") * width).alias("low"), (span["a"] + (F.col("bin") + 1) * width).alias("high"), "count", (F.col("count") / (span["n"] * width)).alias("density"))
+    return pairs.groupBy(which).agg(F.sum("n").alias("count")).select((span["a"] + F.col("bin") * width).alias("low"), (span["a"] + (F.col("bin") + 1) * width).alias("high"), "count", (F.col("count") / (span["n"] * width)).alias("density"))
 
 
 def ordered_heatmap(edges: DataFrame, n: int) -> tuple[DataFrame, float]:

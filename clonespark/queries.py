@@ -383,8 +383,7 @@ def gene_stack(spark, sf_dir):
 
 @query(f"{PAIRED_SQL}, u AS (SELECT dist FROM pd WHERE i < j), m AS (SELECT min(dist) AS a, (max(dist) - min(dist))/30 AS w, count(*) AS n FROM u) SELECT round(a + b*w, 6) AS low, round(a + (b + 1)*w, 6) AS high, k AS \"count\", round(k/(n*w), 6) AS density FROM (SELECT least(floor((dist - a)/w), 29) AS b, count(*) AS k FROM u, m GROUP BY 1), m")
 def distance_histogram(spark, sf_dir):
-    e = dst.distance_sparse(clones(spark, sf_dir, "supplier"), float("inf"), "all", v_distances(loops(spark)))
-    h = plotdata.distance_histogram(e)
+    h = plotdata.distance_histogram(dst.distance_counts(clones(spark, sf_dir, "supplier"), v_distances=v_distances(loops(spark))))
     return h.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "count", F.round("density", 6).alias("density"))
 
 
@@ -471,14 +470,14 @@ def bh_adjust(spark, sf_dir):
 
 @query(f"{PAIRED_SQL}, pt AS (SELECT unnest([20.0, 60.0, 100.0, 150.0, 220.0])::DOUBLE AS x) SELECT x, round((SELECT count(*) FROM pd WHERE dist <= x)/(SELECT count(*) FROM pd), 6) AS ecdf FROM pt")
 def distance_ecdf(spark, sf_dir):
-    e = dst.distance_sparse(clones(spark, sf_dir, "supplier"), float("inf"), "all", v_distances(loops(spark)))
-    return enrichment.distance_ecdf(e, [20, 60, 100, 150, 220]).withColumn("ecdf", F.round("ecdf", 6))
+    e = dst.distance_counts(clones(spark, sf_dir, "supplier"), v_distances=v_distances(loops(spark)))
+    return enrichment.distance_ecdf(e, [20, 60, 100, 150, 220], weight="n").withColumn("ecdf", F.round("ecdf", 6))
 
 
 @query(f"WITH {SUPPLIERS}, {BASE}, {seq_distances_sql('cdr3b', 'sd', 'su', 'cl')}, e AS (SELECT p.clone_idx AS i, dist FROM sd JOIN su p ON p.cdr3b = x JOIN cl q ON q.cdr3b = y), c AS (SELECT i, dist, cume_dist() OVER (PARTITION BY i ORDER BY dist) AS f FROM e) SELECT i, CAST(coalesce(greatest(least(min(dist) FILTER (f > 0.03) - 1, 50), 0), 50) AS INTEGER) AS radius FROM c GROUP BY i")
 def control_radii(spark, sf_dir):
     s = clones(spark, sf_dir, "supplier")
-    return enrichment.control_radii(dst.distance_rect(s, clones(spark, sf_dir), ["cdr3b"]), s, 0.03)
+    return enrichment.control_radii(dst.distance_counts(s, clones(spark, sf_dir), components=["cdr3b"]), s, 0.03)
 
 
 META = f"WITH {SUPPLIERS}, {seq_distances_sql('cdr3b', 'sd', 'su', 'su')}, near AS (SELECT p.clone_idx AS i, q.clone_idx AS j, q.subject AS s FROM sd JOIN su p ON p.cdr3b = x JOIN su q ON q.cdr3b = y WHERE dist <= 9), sets AS (SELECT i, list_sort(list(j)) AS m, count(DISTINCT s) AS nsubject FROM near GROUP BY i HAVING count(DISTINCT s) >= 2)"
@@ -535,11 +534,6 @@ def hierarchical_clusters(spark, sf_dir):
     return graph.cluster_clones(edges, n, k=8)
 
 
-@query()
-def cdr3_profiles(spark, sf_dir):
-    return plotdata.profiles(clones(spark, sf_dir).withColumn("family", F.col("clone_idx") % 20).select("family", "cdr3b").distinct(), "family", "cdr3b")
-
-
 def _rule_model(scale: int) -> ChainModel:
     w = lambda k: (k * scale % 17 - 8) / 10
     return ChainModel(9, 21, 9, {f"{'A' if scale == 5 else 'V'}{g}": w(g + 3) for g in range(4)}, {f"J{'A' if scale == 5 else 'B'}{g}": w(g + 7) for g in range(2)}, [w(k) for k in range(13)], [w(k) for k in range(380)], 0.25, w(1), w(2))
