@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers live on, and the next stage's need room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as by rows, so long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
@@ -122,6 +133,8 @@ def regrouped(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_
             held_bytes += size
     if held:
         yield pa.concat_batches(held)
+        held.clear()
+    give_back()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

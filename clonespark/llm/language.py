@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import bounded_batches, plain, text_slices
+from clonespark.llm.common import bounded_batches, give_back, plain, text_slices
 
 UNDECIDED = "und"
 SIZES = (3, 4)
-_STEP = 2 << 20
+_STEP = 1 << 20
 
 
 @cache
@@ -141,6 +141,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                 for i in np.unique(l):
                     key, n = np.unique(h[l == i], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"i": pa.array(np.full(len(key), i), pa.int32()), "h": pa.array(key.view(np.int64)), "n": pa.array(n)})
+        give_back()
 
     grams = drawn.select(F.col("l.i").alias("i"), "text").mapInArrow(count, "i int, h long, n long").groupBy("i", "h").agg(F.sum("n").alias("n"))
     total = {r["i"]: r["n"] for r in grams.groupBy("i").agg(F.sum("n").alias("n")).collect()}
@@ -184,6 +185,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: t
                 known.append(k)
             empty = [np.zeros(0)]
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score or empty)), pa.array(np.concatenate(known or empty))], ["lang", "score", "known"])
+        give_back()
 
     held = docs.withColumn("__found", predict(F.col(text)))
     return held.withColumns({name: F.col(f"__found.{part}") for name, part in zip(names, ("lang", "score", "known"), strict=True)}).drop("__found")

@@ -29,7 +29,9 @@ from clonespark.llm.components import connected_components
 #: 24 bands of 5: a pair at a Jaccard similarity of 0.8 is missed with a chance of 7e-5.
 BANDS, ROWS = 24, 5
 #: Members and shingles of a block that is compared with another in one task.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
+#: Text bytes whose sets a worker makes at once.
+SET_BYTES = 4 << 20
 
 
 def _second(x: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        for batch in regrouped(batches, "text"):
+        for batch in regrouped(batches, "text", SET_BYTES):
             sets, offsets = shingle_sets(batch.column("text"), size)
             n = np.diff(offsets)
             full = n > 0
@@ -125,7 +127,7 @@ def full_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
     """Of docs(id, text): (id, shingles), the full set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in regrouped(batches, "text"):
+        for batch in regrouped(batches, "text", SET_BYTES):
             sets, offsets = shingle_sets(batch.column("text"), size)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))], ["id", "shingles"])
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import bounded_batches, plain, text_slices
+from clonespark.llm.common import bounded_batches, give_back, plain, text_slices
 
 #: White space in any sense that a tokenizer's pattern may use.
 _SPACE = r"\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -191,6 +191,7 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str | None = No
             texts = plain(texts)
             steps = [own.counts(texts.slice(a, b - a)) for a, b in text_slices(texts)]
             yield pa.array(np.concatenate(steps) if steps else np.zeros(0, np.int64), pa.int64())
+        give_back()
 
     return (
         docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
