@@ -75,8 +75,12 @@ class DistanceSpec:
             dist += matrix[np.ix_(a, b)]
         within &= dist <= threshold
         for column in (c for c in self.active if c.startswith("cdr3")):
-            rows, cols = np.flatnonzero(within.any(axis=1)), np.flatnonzero(within.any(axis=0))
             a, b = left.column(column).to_pylist(), right.column(column).to_pylist()
+            if mask is None and math.isinf(threshold):  # all pairs are wanted
+                (ua, ia), (ub, ib) = distinct(a), distinct(b)
+                dist += Sequences(ua).distances(Sequences(ub), self.weight, self.gap).take(ib, axis=1).take(ia, axis=0)
+                continue
+            rows, cols = np.flatnonzero(within.any(axis=1)), np.flatnonzero(within.any(axis=0))
             (ua, ia), (ub, ib) = distinct([a[i] for i in rows]), distinct([b[i] for i in cols])
             dist[np.ix_(rows, cols)] += Sequences(ua).distances(Sequences(ub), self.weight, self.gap)[np.ix_(ia, ib)]
             within &= dist <= threshold
@@ -95,11 +99,11 @@ def _classes(spec: DistanceSpec) -> list[Column]:
     return [lengths[0].cast("int").alias("la"), lengths[1].cast("int").alias("lb")]
 
 
-def _boxes(rows: DataFrame, least: int, most: int) -> list[dict]:
-    """Length classes, in order, gathered into groups of at least `least` rows where that takes several; each
-    group with its classes, its box of lengths and its number of blocks of at most about `most` rows."""
+def _boxes(classes: list[tuple[int, int, int]], least: int, most: int) -> list[dict]:
+    """Length classes (la, lb, n), in order, gathered into groups of at least `least` rows where that takes
+    several; each group with its classes, its box of lengths and its number of blocks of about `most` rows."""
     boxes: list[dict] = []
-    for la, lb, n in sorted(map(tuple, rows.groupBy("la", "lb").count().collect())):  # at most 65 x 65 rows
+    for la, lb, n in sorted(classes):
         if not boxes or boxes[-1]["n"] >= least or boxes[-1]["a"][1] < la - 1:
             boxes.append({"n": 0, "classes": [], "a": (la, la), "b": (lb, lb)})
         box = boxes[-1]
@@ -111,6 +115,13 @@ def _boxes(rows: DataFrame, least: int, most: int) -> list[dict]:
     return boxes
 
 
+def _same_groups(a: pa.Table, b: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the values of a column of two tables, equal where the values are; nulls are equal."""
+    both = pa.chunked_array([*a.column(column).chunks, *b.column(column).chunks], a.schema.field(column).type).combine_chunks()
+    code = both.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return code[: a.num_rows], code[a.num_rows :]
+
+
 def _counted(row: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, dist, n) of the distinct pairs of both."""
     if not len(dist):
@@ -145,22 +156,27 @@ def range_pairs(left: DataFrame, right: DataFrame, threshold: float, spec: Dista
     one = _prepared(left, left_idx, spec, groups).select("*", *_classes(spec))
     two = _prepared(right, right_idx, spec, groups).select("*", *_classes(spec))
     reach = LONGEST if math.isinf(threshold) or not spec.gap else min(LONGEST, int(threshold // spec.gap))
-    sizes = one.groupBy("la", "lb").count().agg(F.sum("count")).first()[0] or 0
-    most = min(DEALT, max(BLOCK // 4, sizes // 8))
-    p_boxes = _boxes(one, most // 2, most)
-    q_boxes = p_boxes if same else _boxes(two, most // 2, most)
+    sides = one.select("la", "lb", F.lit(0).alias("side"))
+    counted = (sides if same else sides.union(two.select("la", "lb", F.lit(1)))).groupBy("la", "lb", "side").count().collect()  # at most 65 x 65 rows a side
+    classes = [[(r["la"], r["lb"], r["count"]) for r in counted if r["side"] == side] for side in (0, 0 if same else 1)]
+    most = min(DEALT, max(BLOCK // 4, sum(n for _, _, n in classes[0]) // 8))
+    p_boxes, q_boxes = (_boxes(x, most // 2, most) for x in classes)
     apart = lambda x, y: max(0, x[0] - y[1], y[0] - x[1])
     meets = [(p, q, x["blocks"], y["blocks"]) for p, x in enumerate(p_boxes) for q, y in enumerate(q_boxes) if (p <= q or not same) and (reach == LONGEST or apart(x["a"], y["a"]) + apart(x["b"], y["b"]) <= reach)]
     keys = ["p", "pb", "q", "qb"]
     columns = ["i", *spec.active, *groups]
 
+    def small(rows: list[tuple], *names: str) -> DataFrame:
+        """A table that the driver has, without a job of its own."""
+        return spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], pa.int32()) for k, n in enumerate(names)}))
+
     def placed(rows: DataFrame, boxes: list[dict], box: str, block: str) -> DataFrame:
-        known = spark.createDataFrame([(*c, k, x["blocks"]) for k, x in enumerate(boxes) for c in x["classes"]], f"la int, lb int, {box} int, n int")
+        known = small([(*c, k, x["blocks"]) for k, x in enumerate(boxes) for c in x["classes"]], "la", "lb", box, "n")
         own = F.pmod(F.xxhash64("i"), F.col("n")).cast("int").alias(block)
         return rows.join(F.broadcast(known), ["la", "lb"]).select(*columns, box, own)  # at most 65 x 65 rows
 
     # At most as many rows as pairs of boxes; whether it is broadcast is left to the planner, by size.
-    reached = spark.createDataFrame(meets, "p int, q int, np int, nq int")
+    reached = small(meets, "p", "q", "np", "nq")
     from_p = placed(one, p_boxes, "p", "pb").join(reached.select("p", "q", "nq"), "p")
     first = F.when(F.col("p") == F.col("q"), F.col("pb")).otherwise(0) if same else F.lit(0)
     from_p = from_p.select(*columns, "p", "pb", "q", F.explode(F.sequence(first, F.col("nq") - 1)).alias("qb"))
@@ -171,6 +187,7 @@ def range_pairs(left: DataFrame, right: DataFrame, threshold: float, spec: Dista
     def compare(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[], [], []]
         one_block = same and key[0] == key[2] and key[1] == key[3]
+        marks = [_same_groups(a, b, g) for g in groups]
         for x in range(0, a.num_rows if b.num_rows else 0, BLOCK):
             own = a.slice(x, BLOCK)
             i = own.column("i").to_numpy()
@@ -178,8 +195,8 @@ def range_pairs(left: DataFrame, right: DataFrame, threshold: float, spec: Dista
                 part = b.slice(at, 4 * BLOCK)
                 j = part.column("i").to_numpy()
                 mask = i[:, None] < j[None, :] if one_block else np.ones((len(i), len(j)), bool)
-                for g in groups:
-                    mask &= np.array(own.column(g).to_pylist(), object)[:, None] != np.array(part.column(g).to_pylist(), object)[None, :]
+                for one_mark, other_mark in marks:
+                    mask &= one_mark[x : x + BLOCK, None] != other_mark[None, at : at + 4 * BLOCK]
                 dist, within = spec.block(own, part, threshold, mask)
                 r, c = np.nonzero(within)
                 if counts:
@@ -259,13 +276,13 @@ def _nearest_places(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[best], col[best]
 
 
-def _neighbours(rows: DataFrame, k: int, block_distance, columns: list[str], agroup: str, bgroup: str, self_masked: bool) -> DataFrame:
-    """k nearest over all pairs, block against block; pairs of one group count as far away, at 1000."""
+def _neighbours(rows: DataFrame, k: int, block_distance, columns: list[str], groups: list[str]) -> DataFrame:
+    """k nearest over all pairs, block against block; oneself and pairs alike in a group count as far away, at 1000."""
     n = rows.count()
     if not 1 <= k < n:
         raise ValueError(f"k must be from 1 to {n - 1}")
-    blocks = -(-n // (2 * BLOCK))
-    placed = rows.select("i", *columns, F.col(agroup).alias("ga"), F.col(bgroup).alias("gb"))
+    blocks = -(-n // min(DEALT, max(2 * BLOCK, n // 4)))
+    placed = rows.select("i", *columns, *[F.col(g).alias(f"g{n}") for n, g in enumerate(groups)])
     left = placed.withColumn("p", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = placed.withColumn("q", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -275,12 +292,12 @@ def _neighbours(rows: DataFrame, k: int, block_distance, columns: list[str], agr
         order = np.argsort(j, kind="stable")
         b = b.take(pa.array(order))
         j = j[order]
-        groups = [tuple(np.array(t.column(g).to_pylist(), object) for t in (a, b)) for g in ("ga", "gb")]
+        marks = [_same_groups(a, b, f"g{n}") for n in range(len(groups))]
         for at in range(0, len(i) if len(j) else 0, 512):
             part = a.slice(at, 512)
             dist = block_distance(part, b)
-            far = (i[at : at + 512, None] == j[None, :]) if self_masked else np.zeros(dist.shape, bool)
-            for one, two in groups:
+            far = i[at : at + 512, None] == j[None, :]
+            for one, two in marks:
                 far |= one[at : at + 512, None] == two[None, :]
             dist[far] = MASKED
             row, col = _nearest_places(dist, k)
@@ -295,8 +312,9 @@ def _neighbours(rows: DataFrame, k: int, block_distance, columns: list[str], agr
 def knn(clones: DataFrame, k: int, components="all", v_distances: DataFrame | None = None, organism: str | None = None, agroup: str | None = None, bgroup: str | None = None, weight: int = WEIGHT_CDR3, gap: int = GAP_CDR3, idx: str = "clone_idx") -> DataFrame:
     """(i, rank, j, dist): k nearest clones. Oneself and clones of the same agroup or bgroup come at 1000."""
     spec = DistanceSpec.of(clones, components, v_distances, organism, weight, gap)
-    rows = _prepared(clones.withColumn("__a", F.col(agroup or idx)).withColumn("__b", F.col(bgroup or idx)), idx, spec, ("__a", "__b"))
-    return _neighbours(rows, k, lambda a, b: spec.block(a, b)[0], list(spec.active), "__a", "__b", True)
+    groups = {n: g for n, g in (("__a", agroup), ("__b", bgroup)) if g}
+    rows = _prepared(clones.withColumns({n: F.col(g) for n, g in groups.items()}) if groups else clones, idx, spec, tuple(groups))
+    return _neighbours(rows, k, lambda a, b: spec.block(a, b)[0], list(spec.active), list(groups))
 
 
 def radius_neighbours(clones: DataFrame, radius: float, components="all", v_distances: DataFrame | None = None, organism: str | None = None, agroup: str | None = None, bgroup: str | None = None, weight: int = WEIGHT_CDR3, gap: int = GAP_CDR3, idx: str = "clone_idx") -> DataFrame:
@@ -319,7 +337,7 @@ def knn_from_edges(edges: DataFrame, k: int, groups: DataFrame | None = None) ->
 
 def knn_from_embeddings(vectors: DataFrame, k: int, idx: str = "vec_id", embedding: str = "embedding", agroup: str | None = None, bgroup: str | None = None) -> DataFrame:
     """k nearest by Euclidean distance, with the same masking."""
-    rows = vectors.select(F.col(idx).cast("long").alias("i"), F.col(embedding).cast("array<double>").alias("v"), F.col(agroup or idx).alias("__a"), F.col(bgroup or idx).alias("__b"))
+    rows = vectors.select(F.col(idx).cast("long").alias("i"), F.col(embedding).cast("array<double>").alias("v"), *[F.col(g).alias(n) for n, g in (("__a", agroup), ("__b", bgroup)) if g])
 
     def euclid(a: pa.Table, b: pa.Table) -> np.ndarray:
         x, y = (np.array(t.column("v").to_pylist(), np.float64) for t in (a, b))
@@ -328,7 +346,7 @@ def knn_from_embeddings(vectors: DataFrame, k: int, idx: str = "vec_id", embeddi
             out[row] = np.sqrt(((y - value) ** 2).sum(axis=1))
         return out
 
-    return _neighbours(rows, k, euclid, ["v"], "__a", "__b", True)
+    return _neighbours(rows, k, euclid, ["v"], rows.columns[2:])
 
 
 def clone_groups(clones: DataFrame, chain: str, idx: str = "clone_idx") -> DataFrame:
