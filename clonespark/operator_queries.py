@@ -226,6 +226,30 @@ def loop_pairs_with_gaps(spark, sf_dir):
 # ---- distances and repertoires --------------------------------------------------------------------------
 
 
+def _distinct(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Clones whose beta CDR3s are all different: three letters more, made of the key, behind the fifth."""
+    k = F.col("clone_idx")
+    letter = lambda by: F.substring(F.lit(AMINO_ACIDS), (F.floor(k / by) % 20 + 1).cast("int"), F.lit(1))
+    return clones(spark, sf_dir, name).select("clone_idx", "vb", F.concat(F.substring("cdr3b", 1, 5), letter(1), letter(20), letter(400), F.substring("cdr3b", 6, 99)).alias("cdr3b"))
+
+
+def _distinct_sql(source: str) -> str:
+    letter = lambda by: f"substr('{AMINO_ACIDS}', CAST(clone_idx//{by} % 20 + 1 AS INTEGER), 1)"
+    return f"ds AS (SELECT clone_idx, substr(cdr3b, 1, 5) || {letter(1)} || {letter(20)} || {letter(400)} || substr(cdr3b, 6) AS cdr3b FROM {source})"
+
+
+@query(f"WITH {SUPPLIERS}, {_distinct_sql('su')}, {seq_distances_sql('cdr3b', 'sd', 'ds', 'ds')} SELECT p.clone_idx AS i, q.clone_idx AS j, dist FROM sd JOIN ds p ON p.cdr3b = x JOIN ds q ON q.cdr3b = y WHERE dist <= 60 AND p.clone_idx <> q.clone_idx")
+def distance_distinct(spark, sf_dir):
+    """No two sequences are equal."""
+    return dst.distance_sparse(_distinct(spark, sf_dir, "supplier"), 60, ["cdr3b"])
+
+
+@query(f"WITH {BASE}, {_distinct_sql('cl')}, {seq_distances_sql('cdr3b', 'sd', 'ds', 'ds')} SELECT p.clone_idx AS i, q.clone_idx AS j, dist FROM sd JOIN ds p ON p.cdr3b = x JOIN ds q ON q.cdr3b = y WHERE dist <= 24 AND p.clone_idx <> q.clone_idx")
+def distance_sparse_distinct(spark, sf_dir):
+    """As many different sequences as the larger table has rows."""
+    return dst.distance_sparse(_distinct(spark, sf_dir, "customer"), 24, ["cdr3b"])
+
+
 @query(f"WITH {SUPPLIERS}, {seq_distances_sql('cdr3a', 'sa', 'su', 'su')}, {loops_sql()}, {v_sql()} SELECT p.clone_idx AS i, q.clone_idx AS j, dist + vdist AS dist FROM sa JOIN su p ON p.cdr3a = x JOIN su q ON q.cdr3a = y JOIN vd ON g1 = p.va AND g2 = q.va WHERE dist + vdist <= 90 AND p.clone_idx <> q.clone_idx")
 def distance_alpha(spark, sf_dir):
     """A preset that names the components of one chain."""

@@ -11,6 +11,7 @@ from clonespark.constants import AMINO_ACIDS
 from clonespark.functions.exprs import trim_allele
 from clonespark.plans.schema import require_columns
 
+#: Tags of a model file.
 HEADERS = ("min_lenbin", "max_lenbin", "window_size", "NV", "NJ", "NL", "NC")
 
 

@@ -202,6 +202,28 @@ def hierarchical(d: np.ndarray, method: str = "average") -> np.ndarray:
     return steps
 
 
+def subsample(clones: DataFrame, most: int, seed: int = 0, idx: str = "clone_idx") -> DataFrame:
+    """clones, or `most` of them drawn by a hash of their index, numbered again from 0 in the order of that
+    index; their first index is in clone_index."""
+    drawn = clones.withColumn("clone_index", F.col(idx).cast("long")).drop(idx)
+    if clones.count() > most:
+        drawn = drawn.orderBy(F.xxhash64(F.lit(seed), "clone_index"), "clone_index").limit(most)
+    return with_index(cut_lineage(drawn), ["clone_index"], idx)
+
+
+def clone_tree(clones: DataFrame, method: str = "average", max_tcrs: int = 2000, seed: int = 0, components="all", v_distances: DataFrame | None = None, organism: str | None = None, idx: str = "clone_idx") -> tuple[np.ndarray, list[int], DataFrame]:
+    """(steps, indices, edges) of an agglomeration of clones: of all, or of max_tcrs drawn from more. indices
+    are the clones' own, in the order of the tree's points; edges are all distances of the points."""
+    from clonespark.operators.distance import distance_matrix
+
+    drawn = cut_lineage(subsample(clones, max_tcrs, seed, idx))
+    indices = [r["clone_index"] for r in drawn.select(idx, "clone_index").orderBy(idx).collect()]
+    if len(indices) < 2:
+        raise ValueError("a tree needs at least two clones")
+    edges = cut_lineage(distance_matrix(drawn, components, v_distances, organism, idx=idx))
+    return hierarchical(dense(edges, len(indices)), method), indices, edges
+
+
 def cut_tree(steps: np.ndarray, n: int, k: int | None = None, h: float | None = None) -> np.ndarray:
     """Clusters from 1 by first appearance: k of them, or those joined at heights up to h."""
     if (k is None) == (h is None):

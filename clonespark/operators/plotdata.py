@@ -120,6 +120,22 @@ def spread_coincident(points: DataFrame, radius: float, idx: str = "i") -> DataF
     return held.withColumn("__x", F.when(moved, F.col("x") + radius * F.cos(turn)).otherwise(F.col("x"))).withColumn("y", F.when(moved, F.col("y") + radius * F.sin(turn)).otherwise(F.col("y"))).withColumn("x", F.col("__x")).drop("__n", "__k", "__x")
 
 
+def network_figure(nodes: DataFrame, edges: DataFrame, colour: str = "component", radius: float = 0.05, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, lines, centroids) of a network (its vertices and its weighted edges): places by a force-directed
+    layout, points at one place spread around it, lines with both ends' places, and mean places by colour."""
+    from clonespark.operators.embedding import layout, numbered
+
+    placed = numbered(nodes.select(F.col("i").alias("v"), colour), "v")
+    own = placed.select("v", F.col("i").alias("n"))
+    links = edges.join(own.select(F.col("v").alias("i"), F.col("n").alias("a")), "i").join(own.select(F.col("v").alias("j"), F.col("n").alias("b")), "j")
+    both = links.select(F.col("a").alias("i"), F.col("b").alias("j"), "weight").union(links.select("b", "a", "weight"))
+    found = layout(both, placed.count(), seed=seed).select("i", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"))
+    points = spread_coincident(placed.join(found, "i").select(F.col("v").alias("i"), colour, "x", "y"), radius)
+    ends = lambda v, n: points.select(F.col("i").alias(v), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    lines = edges.join(ends("i", 0), "i").join(ends("j", 1), "j").select("i", "j", "weight", "x0", "y0", "x1", "y1")
+    return points, lines, points.groupBy(colour).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
 def profile(sequences: list[str], sources: list[list[str] | None] | None = None, trim: bool = True) -> dict:
     """A position weight matrix of one motif's CDR3s, and one of nucleotide sources if given.
 

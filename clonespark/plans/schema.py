@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clonespark.functions.exprs import VALID_CDR3
 
+#: Names of chains, components and presets.
 REQUIRED = {"AB": ("va", "cdr3a", "vb", "cdr3b"), "A": ("va", "cdr3a"), "B": ("vb", "cdr3b"), "GD": ("va", "cdr3a", "vb", "cdr3b")}
 COMPONENTS = ("va", "cdr3a", "vb", "cdr3b")
 PRESETS = {"all": COMPONENTS, "cdr3": ("cdr3a", "cdr3b"), "v_region": ("va", "vb"), "alpha": ("va", "cdr3a"), "beta": ("vb", "cdr3b")}
