@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonespark.constants import GAP_CDR3, MASKED, WEIGHT_CDR3
-from clonespark.functions.exprs import hamming_distance
 from clonespark.functions.kernel import Sequences
 from clonespark.operators.genes import v_matrix
 from clonespark.plans.schema import active_for, require_columns
@@ -252,11 +251,35 @@ def distance_rect(queries: DataFrame, references: DataFrame, components="all", v
 
 
 def hamming_matrix(df: DataFrame, column: str, idx: str = "clone_idx") -> DataFrame:
-    """Mismatches of all pairs; between different lengths the larger length. A null is an error."""
-    if df.filter(F.col(column).isNull()).limit(1).count():
+    """Mismatches of all pairs; between different lengths the larger length. A null is an error.
+
+    Block against block, as letter codes in numpy; rows grow with the square of the table.
+    """
+    found = df.agg(F.count("*"), F.count(column)).first()
+    if found[0] != found[1]:
         raise ValueError(f"nulls in {column}")
-    left, right = df.select(F.col(idx).alias("i"), F.col(column).alias("__a")), df.select(F.col(idx).alias("j"), F.col(column).alias("__b"))
-    return left.crossJoin(right).select("i", "j", hamming_distance("__a", "__b", "longest").cast("double").alias("dist"))
+    blocks = max(1, -(-found[0] // min(DEALT, max(BLOCK // 4, found[0] // 4))) if found[0] else 1)
+    rows = df.select(F.col(idx).cast("long").alias("i"), F.col(column).alias("s"))
+    own, every = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.withColumn("p", own).withColumn("q", every)
+    right = rows.select(F.col("i").alias("j"), F.col("s").alias("t")).withColumn("q", F.pmod(F.xxhash64("j"), F.lit(blocks)).cast("int")).withColumn("p", every)
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        one, two = a.column("s").to_pylist(), b.column("t").to_pylist()
+        found = [np.zeros((0, len(two)))]
+        width = max(map(len, (*one, *two, "")), default=0)
+        x, y = (np.array(s, f"U{max(1, width)}").view(np.uint32).reshape(len(s), -1) for s in (one, two))
+        n, m = (np.array([len(v) for v in s]) for s in (one, two))
+        for at in range(0, len(one) if len(two) else 0, BLOCK):
+            own = slice(at, at + BLOCK)
+            off = np.zeros((len(x[own]), len(y)), np.int32)
+            for k in range(x.shape[1]):
+                off += x[own, k, None] != y[None, :, k]
+            found.append(np.where(n[own, None] == m[None, :], off, np.maximum(n[own, None], m[None, :])))
+        i, j = a.column("i").to_numpy(), b.column("j").to_numpy()
+        return pa.table({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "dist": np.concatenate(found).ravel().astype(np.float64)})
+
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(lambda a, b: compare(a, b), "i long, j long, dist double")
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:

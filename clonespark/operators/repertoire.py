@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.constants import GAP_CDR3, GAP_V, WEIGHT_CDR3, WEIGHT_V
-from clonespark.functions.exprs import hamming_distance
-from clonespark.operators.distance import distance_matrix
+from clonespark.operators.distance import distance_matrix, hamming_matrix
 from clonespark.plans.schema import REQUIRED, require_columns, validate_chains, with_index
 
 
@@ -113,7 +112,6 @@ def build_repertoire(clones: DataFrame, organism: str, chains: str = "AB", metri
         return found
     if metric == "hamming":
         column = "cdr3a" if chains == "A" else "cdr3b"
-        a, b = clones.select(F.col("clone_idx").alias("i"), F.col(column).alias("__a")), clones.select(F.col("clone_idx").alias("j"), F.col(column).alias("__b"))
-        return replace(found, edges=a.crossJoin(b).select("i", "j", hamming_distance("__a", "__b", "longest").cast("double").alias("dist")))
+        return replace(found, edges=hamming_matrix(clones, column))
     components = {"A": "alpha", "B": "beta"}.get(chains, "all")
     return replace(found, edges=distance_matrix(clones, components, v_distances, organism, found.weights["cdr3"], found.gap_penalties["cdr3"]))
